@@ -35,6 +35,7 @@ MAX_NGRAMS = 1 << 18
 MAX_LANGS = 1024
 CALIBRATION_ROWS = 20_000
 QUANTILE, SLACK = 0.999, 1.5
+STEADY = 400  # characters beyond which cross-entropy varies with the text and no more with its length
 ALPHABET = 1 << 12  # characters that share the last, uniform probability mass
 _SPACE = 32
 _classes: list[np.ndarray] = []
@@ -217,7 +218,7 @@ class Model:
         odds = np.exp(-(h - low[:, None]) * np.minimum(n, 50)[:, None]).sum(axis=1)
         score = np.where(n > 0, 1 / odds, 0.0)
         mean, sd, limit = (np.array(x)[best] for x in zip(*self.limits))
-        rejected = (n == 0) | ((low - mean) * np.sqrt(n) / sd > limit)
+        rejected = (n == 0) | ((low - mean) * np.sqrt(n / (1 + n / STEADY)) / sd > limit)
         return [self.langs[b] if k else "und" for b, k in zip(best.tolist(), n.tolist())], score, low, rejected, n
 
 
@@ -245,7 +246,7 @@ def fit(training: DataFrame, calibration: DataFrame | None = None) -> Model:
         z = materialize(scored.select("lang", "entropy", "n_scored"))
         stats = z.groupBy("lang").agg(F.avg("entropy").alias("mean"))
         joined = z.join(F.broadcast(stats), "lang")  # a row for each of at most MAX_LANGS languages
-        dev = (F.col("entropy") - F.col("mean")) * F.sqrt("n_scored")
+        dev = (F.col("entropy") - F.col("mean")) * F.sqrt(F.col("n_scored") / (1 + F.col("n_scored") / STEADY))
         fitted = joined.groupBy("lang").agg(
             F.first("mean").alias("mean"), F.sqrt(F.avg(dev * dev)).alias("sd"), F.percentile_approx(dev, QUANTILE, 10_000).alias("top"), F.max(dev).alias("most")
         ).collect()

@@ -28,7 +28,7 @@ from .textkit import chunks, lowered, span_hashes, words
 
 SAMPLE = 12_000
 TERMS, MIN_DOCS, MIN_CHI2 = 4096, 4, 15.0
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 30, 256, 0.1, 1e-4
+FACTORS, EPOCHS, MIN_STEPS, BATCH, RATE, DECAY = 8, 20, 800, 256, 0.1, 1e-4
 THRESHOLD = 0.7
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -88,7 +88,7 @@ class Machine:
         """Adagrad over texts given as arrays of term indices; the classes weigh as they occur."""
         rng = np.random.default_rng(11)
         g0, gw, gv = 1e-8, np.full(len(self.w), 1e-8), np.full(self.v.shape, 1e-8)
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // max(len(texts), 1)))):
             order = rng.permutation(len(texts))
             for lo in range(0, len(order), BATCH):
                 pick = order[lo : lo + BATCH]
