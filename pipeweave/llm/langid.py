@@ -151,7 +151,7 @@ class Model:
                 levels[k].append((w, n.astype(float)))
         self.probs, self.weights = [], []
         base = np.full(len(langs), np.log(1 / ALPHABET))
-        for k in range(ORDER):
+        for k in range(ORDER if langs else 0):
             ctx_hash, gram_hash, ctx_rows, gram_rows = [], [], [], []
             for i, (w, n) in enumerate(levels[k]):
                 c = ngram_hash(w[:-1]) if k else np.zeros(w.shape[1], U64)
@@ -282,10 +282,13 @@ def bucket(doc_id: Column, n: int) -> Column:
 
 
 def fit_documents(docs: DataFrame) -> Model:
-    """Fitted to documents whose crc32(doc_id) mod 4 is not 2; calibrated on those of them where it is 3."""
+    """Fitted to documents whose crc32(doc_id) mod 4 is 0 or 1, and calibrated on those where it is 3.
+
+    A model knows the texts it has counted better than others, so limits come from texts it hasn't.
+    """
     fold = F.coalesce(bucket(F.col("doc_id"), 4), F.lit(0))
     learnt = docs.select("lang", "text", fold.alias("fold")).where("fold <> 2")
-    return fit(learnt, learnt.where("fold = 3"))
+    return fit(learnt.where("fold <> 3"), learnt.where("fold = 3"))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
