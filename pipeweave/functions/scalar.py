@@ -130,6 +130,8 @@ class Scope:
             return Value(F.lit(None).cast("boolean"), "bool")
         pair = {a.cls, b.cls}
         if pair == {"num"}:
+            # A whole number beside a whole-number column stays whole, so the filter reaches the scan.
+            a, b = (_whole(e.left, a, b), _whole(e.right, b, a))
             x, y = (a.col, b.col) if a.integral and b.integral else (number(a), number(b))
         elif pair == {"num", "str"}:
             x, y = (number(v) if v.cls == "num" else parse_number(v.col) for v in (a, b))
@@ -293,6 +295,11 @@ class Scope:
         return Value(out.otherwise(F.when(F.isnotnull(wrong), cols[0])), cls, integral)
 
 
+def _whole(tree, v: Value, other: Value) -> Value:
+    fits = isinstance(tree, Lit) and other.integral and tree.value == int(tree.value) and abs(tree.value) < 2**53
+    return Value(F.lit(int(tree.value)).cast("bigint"), "num", True) if fits else v
+
+
 def _compared(op: str, x: Column, y: Column) -> Column:
     return {"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
 
