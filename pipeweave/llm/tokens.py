@@ -2,14 +2,18 @@
 
 For a byte-level BPE without normaliser, ids of a text are the ids of its pre-tokens in turn, so
 each distinct pre-token is encoded by the library's model and kept in a cache of two generations
-of CACHE_PIECES each. Texts holding an added token's string, and any other kind of tokenizer, go
-to the library whole.
+of CACHE_PIECES each. A space ends a pre-token wherever it isn't between (or after) white space, so
+the runs between such spaces are kept in a second cache and only new runs are split by the pattern.
+Texts holding an added token's string, and any other kind of tokenizer, go to the library whole.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import sys
 import threading
+from array import array
 
 import numpy as np
 
@@ -18,6 +22,10 @@ CACHE_PIECES = 250_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: A space that may lie inside a pre-token of white space.
+_INNER_SPACE = re.compile(r"\s (?:\s|$)")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -54,29 +62,52 @@ class Encoder:
         self.alphabet = _alphabet()
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.older_runs: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece(self, p: str) -> bytes:
-        spelled = p.encode().decode("latin-1").translate(self.alphabet)
-        return np.asarray([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        if p.isascii() and p.isprintable():
+            spelled = p.replace(" ", self.alphabet[32])
+        else:
+            spelled = p.encode().decode("latin-1").translate(self.alphabet)
+        return _u4([t.id for t in self.model.tokenize(spelled)])
+
+    def split_and_encode(self, text: str) -> bytes:
+        cache, out = self.cache, []
+        for p in self.split(text):
+            ids = cache.get(p)
+            if ids is None:
+                ids = cache[p] = self.older.get(p) or self.piece(p)
+            out.append(ids)
+        if len(cache) > CACHE_PIECES:  # two generations: what is still in use moves over
+            self.older, self.cache = cache, {}
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         if not self.piecewise or any(a in text for a in self.added):
             return self.whole(text)
-        cache, pieces = self.cache, self.split(text)
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            pass
-        for p in pieces:
-            if p not in cache:
-                cache[p] = self.older.get(p) or self.piece(p)
-        out = b"".join([cache[p] for p in pieces])
-        if len(cache) > CACHE_PIECES:  # two generations: what is still in use moves over
-            self.older, self.cache = cache, {}
-        return out
+        if _INNER_SPACE.search(text):
+            return self.split_and_encode(text)
+        head, *rest = text.split(" ")
+        runs, out = self.runs, [self.split_and_encode(head)]
+        for r in rest:
+            ids = runs.get(r)
+            if ids is None:
+                ids = runs[r] = self.older_runs.get(r) or self.split_and_encode(" " + r)
+            out.append(ids)
+        if len(runs) > CACHE_PIECES:
+            self.older_runs, self.runs = runs, {}
+        return b"".join(out)
+
+
+def _u4(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if a.itemsize != 4 or sys.byteorder != "little":
+        return np.asarray(ids, "<u4").tobytes()
+    return a.tobytes()
 
 
 _local = threading.local()
