@@ -85,7 +85,7 @@ def ngram_hash(w: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def _batches(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list]]:
+def _batches(column: pa.Array, limit: int = 1 << 17) -> Iterator[tuple[int, list]]:
     lo, held, size = 0, [], 0
     for i, x in enumerate(column):
         t = x.as_py()
@@ -125,7 +125,7 @@ def count(rows: DataFrame) -> DataFrame:
                         u = w[:, at].astype(np.int64)
                         parts = total.setdefault(name, [])
                         parts.append((np.stack([u[0] << 32 | u[1], u[2] << 32 | u[3]], axis=1), n))
-                        if len(parts) >= 16:
+                        if len(parts) >= 128:
                             total[name] = [merged(parts)]
         for name, parts in total.items():
             k, n = merged(parts)
