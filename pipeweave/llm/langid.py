@@ -34,6 +34,7 @@ DISCOUNT = 0.75
 MAX_NGRAMS = 1 << 18
 MAX_LANGS = 1024
 CALIBRATION_ROWS = 20_000
+MERGE_ROWS = 1 << 16  # counted n-grams a language that a task holds before it merges equal ones
 QUANTILE, SLACK = 0.999, 1.5
 STEADY = 400  # characters beyond which cross-entropy varies with the text and no more with its length
 ALPHABET = 1 << 12  # characters that share the last, uniform probability mass
@@ -103,6 +104,8 @@ def count(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list] = {}
+        held: dict[str, int] = {}  # rows in a language's parts
+        room: dict[str, int] = {}  # rows at which they are merged: twice what the last merge left
 
         def merged(parts: list) -> tuple:
             k = np.concatenate([p[0] for p in parts])
@@ -125,8 +128,11 @@ def count(rows: DataFrame) -> DataFrame:
                         u = w[:, at].astype(np.int64)
                         parts = total.setdefault(name, [])
                         parts.append((np.stack([u[0] << 32 | u[1], u[2] << 32 | u[3]], axis=1), n))
-                        if len(parts) >= 128:
+                        held[name] = held.get(name, 0) + len(n)
+                        if held[name] > room.get(name, MERGE_ROWS):
                             total[name] = [merged(parts)]
+                            held[name] = len(total[name][0][1])
+                            room[name] = max(MERGE_ROWS, 2 * held[name])
         for name, parts in total.items():
             k, n = merged(parts)
             yield pa.RecordBatch.from_arrays(
