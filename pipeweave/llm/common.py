@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
@@ -22,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pipeweave-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_BYTES, or to what it has if that is less.
+
+    A batch stands in the JVM's buffers and in the Python worker at once, so operators on whole texts bound it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(key).strip().lower()).groups()
+    held = int(size) << 10 * " kmgtp".index(unit or " ")
+    if not 0 < held <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lost executors cost no recomputation."""
     path = shared_dir(df.sparkSession)

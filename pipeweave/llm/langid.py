@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .textkit import U64, mix
 
 ORDER = 4
@@ -138,6 +138,7 @@ def count(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(n)), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(n.astype(np.int64))], ["lang", "hi", "lo", "n"])
 
+    small_batches(rows.sparkSession)
     return rows.select("lang", "text").mapInArrow(run, "lang string, hi long, lo long, n long")
 
 
@@ -263,6 +264,7 @@ def fit(training: DataFrame, calibration: DataFrame | None = None) -> Model:
 
 
 def _scored(rows: DataFrame, model: Model, key: str) -> DataFrame:
+    small_batches(rows.sparkSession)
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, small_batches
 from .textkit import U64, chunks, lowered, mix, short_hash, span_hashes, window_hashes, window_rows, words
 
 SHINGLE = 5
@@ -118,6 +118,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     empty = [pa.nulls(len(none), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays([ids.take(none), pa.array([0] * len(none), pa.int64()), *empty], names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SIGN)
 
 
@@ -132,6 +133,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                     [b.column(0).slice(lo, hi - lo), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), flat)],
                     ["doc_id", "n_shingles", "members"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
 
 
