@@ -31,9 +31,9 @@ def small_batches(spark: SparkSession) -> None:
     A batch stands in the JVM's buffers and in the Python worker at once, so operators on whole texts bound it.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    size, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(key).strip().lower()).groups()
+    size, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(key).strip().lower()).groups()
     held = int(size) << 10 * " kmgtp".index(unit or " ")
-    if not 0 < held <= BATCH_BYTES:
+    if held > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 

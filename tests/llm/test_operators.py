@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pipeweave.llm import ann, hostrules, langid, mixing, neardup, packing, sstable, substring, toxicity, urlrules
+from pipeweave.llm import ann, common, hostrules, langid, mixing, neardup, packing, sstable, substring, toxicity, urlrules
 from pipeweave.llm.tokens import default_tokenizer, encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -257,3 +257,27 @@ def test_hosts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = {r["doc_id"] for r in hostrules.judge(docs).where("kept").collect()}
     assert kept == {100 + i for i in range(100) if i % 10} | {300}
+
+
+def test_language_counts_do_not_depend_on_merging(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "one two one two three"), ("b", "uno dos uno"), ("a", "one"), ("b", ""), ("a", "12 34")], "lang string, text string")
+
+    def counted():
+        return sorted((r["lang"], r["hi"], r["lo"], r["n"]) for r in langid.count(rows.coalesce(1)).groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")).collect())
+
+    whole = counted()
+    monkeypatch.setattr(langid, "MERGE_ROWS", 1)
+    monkeypatch.setattr(langid, "_batches", lambda column, limit=1: ((i, [x.as_py()]) for i, x in enumerate(column)))
+    assert counted() == whole and len(whole) > 10
+
+
+@pytest.mark.parametrize(("held", "then"), [("64m", 4 << 20), ("67108864b", 4 << 20), ("1MB", None), ("1000", None)])
+def test_arrow_batches_are_bounded(spark, held, then):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, held)
+        common.small_batches(spark)
+        assert spark.conf.get(key) == (str(then) if then else held)
+    finally:
+        spark.conf.set(key, before)
