@@ -1,7 +1,7 @@
 """MinHash near-duplicates, candidates checked with odd sketches, links confirmed on full sets.
 
 1. One pass over the texts gives each document its set of 5-word shingles in digest: its size, a
-   128-bit fingerprint, BANDS band keys of ROWS MinHash values each, and an odd sketch: the
+   128-bit fingerprint, band keys of ROWS MinHash values each (BANDS at PERCENT, more below), and an odd sketch: the
    parity, in SKETCH_BITS bits, of how often a bit is hit by the document's MinHash samples.
 2. Documents of equal sets are one class; only its smallest doc_id goes on.
 3. Within a bucket (an equal band key) each member meets the bucket's smallest doc_id. The XOR
@@ -21,6 +21,7 @@ each come back; a null doc_id links with nothing and is kept; an empty table giv
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,24 @@ BLOCK = 2048
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _C = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.int64).astype(np.uint32)
+
+
+def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the first n MinHash functions; those of BANDS bands are the same for any n."""
+    if n <= len(_A):
+        return _A[:n], _C[:n]
+    more = np.random.default_rng(78).integers(0, 1 << 31, (n - len(_A), 2), dtype=np.int64).astype(np.uint32)
+    return np.r_[_A, more[:, 0] * np.uint32(2) + np.uint32(1)], np.r_[_C, more[:, 1]]
+
+
+def bands_for(percent: int) -> int:
+    """Bands by which a pair at a threshold is missed no more often than one at PERCENT by BANDS."""
+    if percent >= PERCENT:
+        return BANDS
+    missed = lambda p: math.log1p(-((p / 100) ** ROWS))
+    return math.ceil(BANDS * missed(PERCENT) / missed(max(percent, 1)))
+
+
 _SIGN = "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>, sketch array<long>"
 _SETS = "doc_id long, n_shingles long, members array<long>"
 
@@ -61,20 +80,22 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int = SHINGLE) -> list
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, odd sketches as 64-bit words) of non-empty sets."""
+def signatures(sets: list[np.ndarray], n_bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, odd sketches as 64-bit words) of non-empty sets; a sketch is of BANDS bands for any number."""
+    mul, add = multipliers(n_bands * ROWS)
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     at = np.r_[0, np.cumsum(size)[:-1]]
     x = (np.concatenate(sets) >> U64(32)).astype(np.uint32)
-    low = np.empty((len(sets), BANDS * ROWS), np.uint32)
-    for i in range(BANDS * ROWS):
-        y = x * _A[i]
+    low = np.empty((len(sets), n_bands * ROWS), np.uint32)
+    for i in range(n_bands * ROWS):
+        y = x * mul[i]
         y ^= y >> np.uint32(15)
-        low[:, i] = np.minimum.reduceat(y * (_C[i] | np.uint32(1)), at)
-    sample = mix(low.astype(U64) | np.arange(BANDS * ROWS, dtype=U64) << U64(32))
-    bands = np.full((len(sets), BANDS), 0, U64)
+        low[:, i] = np.minimum.reduceat(y * (add[i] | np.uint32(1)), at)
+    sample = mix(low.astype(U64) | np.arange(n_bands * ROWS, dtype=U64) << U64(32))
+    bands = np.full((len(sets), n_bands), 0, U64)
     for r in range(ROWS):
         bands = mix(bands * U64(31) + sample[:, r::ROWS])
+    sample = sample[:, : BANDS * ROWS]
     bit = (sample >> U64(20)) % U64(SKETCH_BITS)
     flat = np.arange(len(sets), dtype=np.int64)[:, None] * SKETCH_BITS + bit.astype(np.int64)
     odd = np.bincount(flat.ravel(), minlength=len(sets) * SKETCH_BITS).astype(np.uint8) & 1
@@ -99,7 +120,7 @@ def _list(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), flat)
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_shingles", "fp_a", "fp_b", "bands", "sketch"]
         for b in batches:
@@ -110,7 +131,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 none = pa.array(np.flatnonzero([len(s) == 0 for s in sets]))
                 if len(some):
                     full = [sets[i] for i in some]
-                    bands, sketch = signatures(full)
+                    bands, sketch = signatures(full, n_bands)
                     fp = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in full), np.int64).reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(some)), pa.array(list(map(len, full)), pa.int64()), pa.array(np.ascontiguousarray(fp[:, 0])), pa.array(np.ascontiguousarray(fp[:, 1])), _list(bands), _list(sketch)], names)
@@ -177,7 +198,7 @@ def link_block(rows: pd.DataFrame, percent: int, within: bool) -> list[tuple[int
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
-    signed = materialize(sign(docs))
+    signed = materialize(sign(docs, bands_for(percent)))
     named = signed.where("fp_a is not null and doc_id is not null")
     classes = materialize(named.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep")))
     reps = named.join(classes.select(F.col("rep").alias("doc_id"), "fp_a", "fp_b"), ["doc_id", "fp_a", "fp_b"], "left_semi")

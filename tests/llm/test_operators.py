@@ -281,3 +281,18 @@ def test_arrow_batches_are_bounded(spark, held, then):
         assert spark.conf.get(key) == (str(then) if then else held)
     finally:
         spark.conf.set(key, before)
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+
+    texts = []
+    for i in range(30):  # one word changed inside 55 of them: 46 shingles of 56 are shared, 0.82
+        w = prose(55, 900 + i).split()
+        texts.append(" ".join(w))
+        w[20 + i % 10] = "changed"
+        texts.append(" ".join(w))
+    kept = corpus_pipeline.near_duplicates(spark, table(spark, texts), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 60, 2))
+    missed = lambda p: (1 - (p / 100) ** neardup.ROWS) ** neardup.bands_for(p)
+    assert neardup.bands_for(85) == neardup.BANDS and missed(80) <= missed(85)
