@@ -5,11 +5,12 @@ a fast Hadamard transform) and hashed to the signed axis it is nearest to. Every
 under its one axis a table; a query probes the PROBES axes it is nearest to. Queries meet the
 vectors of their buckets in blocks of at most BLOCK vectors, which a bucket of any size is dealt
 into, and each block sends on a query's best few, scored exactly in double precision. A query that
-met fewer than k vectors is compared with all, in blocks.
+met fewer than k vectors is compared with all, in blocks. Repeated rows are indexed once, and rows
+of one id with different vectors are dealt over the blocks like those of different ids.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, have a null id, or
 whose length isn't the table's commonest, take no part; a vector is no neighbour of rows of its
-own id; equal scores go to the smaller vec_id (scores are summed component by component, so equal
+own id, and an id of several vectors counts once, by its best; equal scores go to the smaller vec_id (scores are summed component by component, so equal
 vectors score alike everywhere); with fewer than k others all are returned; an empty table gives
 no rows.
 """
@@ -69,16 +70,16 @@ def cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (doubles) of the rows that take part."""
+    """vec_id, v (doubles) of the rows that take part, each once."""
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     x = x.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
     common = x.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
-    return x.where(F.size("v") == (common["d"] if common else 0))
+    return x.where(F.size("v") == (common["d"] if common else 0)).distinct()
 
 
 def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best k candidates of each query in a block; rows: vec_id, v, probe (a query's row)."""
+    """The k best distinct vec_ids of each query in a block; rows: vec_id, v, probe (a query's row)."""
     probe = rows["probe"].to_numpy()
     q, c = rows[probe], rows[~probe]
     none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
@@ -87,15 +88,18 @@ def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     cid, cv = c["vec_id"].to_numpy(), np.stack(c["v"].to_numpy())
     by_id = np.argsort(cid, kind="stable")
     cid, cv = cid[by_id], cv[by_id]
+    first = np.flatnonzero(np.r_[True, cid[1:] != cid[:-1]])
+    ids = cid[first]
     out = []
     for lo in range(0, len(q), 256):
         qid = q["vec_id"].to_numpy()[lo : lo + 256]
         s = cosines(np.stack(q["v"].to_numpy()[lo : lo + 256]), cv)
-        s[qid[:, None] == cid[None, :]] = -np.inf
-        order = np.argsort(-s, axis=1, kind="stable")[:, : 2 * k]  # repeated ids may fill some places
+        s = np.maximum.reduceat(s, first, axis=1)  # an id's best of its vectors
+        s[qid[:, None] == ids[None, :]] = -np.inf
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
         for i, o in enumerate(order):
             o = o[np.isfinite(s[i, o])]
-            out.append(pd.DataFrame({"query_id": qid[i], "vec_id": cid[o], "score": s[i, o]}).drop_duplicates("vec_id").head(k))
+            out.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[o], "score": s[i, o]}))
     return pd.concat(out) if out else none
 
 
@@ -138,7 +142,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = K, probes: int = P
     # A row for each of at most TABLES * 2 * width buckets, so its size has a bound.
     blocks = index.groupBy("table", "axis").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     sized = F.broadcast(materialize(blocks))
-    dealt = index.join(sized, ["table", "axis"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    dealt = index.join(sized, ["table", "axis"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int"))
     asked = _hashed(queries, probes).join(sized, ["table", "axis"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     found = materialize(top(_search(dealt, asked, ["table", "axis", "block"], k), k))
     some = x.select("vec_id").distinct().limit(k + 1).count()  # all there is, if fewer than k others
@@ -147,7 +151,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = K, probes: int = P
     if short.isEmpty():
         return found
     n = max(1, -(-x.count() // BLOCK))
-    every = x.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    every = x.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int"))
     again = short.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     whole = top(_search(every, again, ["block"], k), k)
     return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(whole)

@@ -296,3 +296,19 @@ def test_pipeline_drops_near_copies_from_80_percent(spark):
     assert sorted(r["doc_id"] for r in kept) == list(range(0, 60, 2))
     missed = lambda p: (1 - (p / 100) ** neardup.ROWS) ** neardup.bands_for(p)
     assert neardup.bands_for(85) == neardup.BANDS and missed(80) <= missed(85)
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    q = rng.normal(size=16)
+    rows = [(0, q.tolist())]
+    rows += [(1, (q + rng.normal(size=16) * 0.01).tolist()) for _ in range(30)]  # one id, many vectors
+    rows += [(i, (q + rng.normal(size=16) * 0.1).tolist()) for i in range(2, 6) for _ in range(1)] * 4
+    rows += [(i, rng.normal(size=16).tolist()) for i in range(6, 40)]
+    x = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.neighbours(x, F.col("vec_id") == 0).orderBy("rank").collect()
+    best = {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, -2.0), float(np.dot(q, v) / np.linalg.norm(q) / np.linalg.norm(v)))
+    assert [r["vec_id"] for r in got] == sorted(best, key=lambda i: -best[i])[:5]
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5]
