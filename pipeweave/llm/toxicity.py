@@ -8,6 +8,8 @@ beside the mention of a group can count for more than both alone.
 
 The sample holds at most about SAMPLE labelled rows of each class (chosen by a hash of the id) and
 at most TERMS terms, so what is collected for fitting is bounded; scoring reads every whole text.
+Where the classes are sampled at different rates, the log of their ratio is taken from the fitted
+log odds, so scores are at the classes' own shares, however many labels there are.
 
 Edge cases: a null, empty or wordless text scores as one without any chosen term; without labelled
 rows, or with one class only, every score is the share of that class (0 without rows); several
@@ -85,7 +87,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(*self.chosen(h, row), n)[0], -40, 40)))
 
     def fit(self, texts: list[np.ndarray], y: np.ndarray) -> None:
-        """Adagrad over texts given as arrays of term indices; the classes weigh as they occur."""
+        """Adagrad over texts given as arrays of term indices; the classes weigh as they occur in texts."""
         rng = np.random.default_rng(11)
         g0, gw, gv = 1e-8, np.full(len(self.w), 1e-8), np.full(self.v.shape, 1e-8)
         for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // max(len(texts), 1)))):
@@ -107,17 +109,18 @@ class Machine:
                 self.v -= RATE * dv / np.sqrt(gv)
 
 
-def sample(labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic) of at most about SAMPLE rows of each class, by a hash of the id."""
+def sample(labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """(doc_id, toxic) of at most about SAMPLE rows of each class, by a hash of the id, and each class's rate."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.col("toxic").cast("int")).alias("toxic")
     ).where("toxic in (0, 1)")
     n = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
-    keep = F.lit(False)
+    keep, rates = F.lit(False), {}
     for c, k in n.items():
-        part = int(min(1.0, SAMPLE / k) * (1 << 20))
+        part = max(1, int(min(1.0, SAMPLE / k) * (1 << 20)))
+        rates[c] = part / (1 << 20)
         keep = keep | ((F.col("toxic") == c) & (F.pmod(F.xxhash64("doc_id"), 1 << 20) < part))
-    return one.where(keep)
+    return one.where(keep), rates
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
@@ -132,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
                     [b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["toxic", "terms"])
 
     # The sample's size is bounded by SAMPLE, whatever the size of labels.
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample(labels)), "doc_id")
+    chosen, rates = sample(labels)
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = materialize(picked.select("toxic", "text").mapInArrow(run, "toxic int, terms array<long>"))
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     total, bad = sum(n.values()), n.get(1, 0)
@@ -165,6 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     y = got.column("toxic").to_numpy().astype(float)
     order = sorted(range(len(at)), key=lambda i: (y[i], at[i].tobytes()))
     machine.fit([at[i] for i in order], y[order])
+    machine.w0 -= float(np.log(rates[1] / rates[0]))
     return machine
 
 

@@ -312,3 +312,14 @@ def test_neighbours_of_repeated_ids(spark):
         best[i] = max(best.get(i, -2.0), float(np.dot(q, v) / np.linalg.norm(q) / np.linalg.norm(v)))
     assert [r["vec_id"] for r in got] == sorted(best, key=lambda i: -best[i])[:5]
     assert [r["rank"] for r in got] == [1, 2, 3, 4, 5]
+
+
+def test_toxicity_scores_do_not_depend_on_sampling_rates(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 200)
+    r = random.Random(4)
+    # "bad" stands in every toxic text and in a quarter as many of the clean: its share of toxic ones is 0.31.
+    rows = [(i, f"{prose(8, i)} {'bad' if i % 10 == 0 or r.random() < 0.25 else 'good'}", int(i % 10 == 0)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    got = toxicity.score(docs, machine).agg(F.avg("score"), F.avg("predicted")).first()
+    assert abs(got[0] - 0.1) < 0.05 and got[1] < 0.05
