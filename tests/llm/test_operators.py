@@ -83,6 +83,20 @@ def test_passages(spark):
     assert cut[0] == texts[0] and cut[4] == texts[4] and abs(len(cut[1].split()) - 120) <= 3
 
 
+def test_passages_whose_parts_stand_in_earlier_documents(spark):
+    texts = []
+    for k in range(20):
+        shared = prose(60, 200 + k).split()
+        halves = [" ".join(shared[:30]), " ".join(shared[30:])]
+        texts += [f"{prose(40, 300 + 10 * k + i)} {h} {prose(40, 400 + 10 * k + i)}" for i, h in enumerate(halves)]
+        texts += [f"{prose(35 + k, 500 + 10 * k + i)} {' '.join(shared)} {prose(40, 600 + 10 * k + i)}" for i in range(2)]
+    got = [r for r in substring.passages(table(spark, texts)).collect()]
+    for k in range(20):
+        mine = [r for r in got if r["doc_id"] == 4 * k + 3 and r["ref_doc_id"] == 4 * k + 2]
+        assert len(mine) == 1 and abs(mine[0]["start"] - 35 - k) <= 1 and 60 <= mine[0]["n_words"] <= 62
+    assert len(got) == 20
+
+
 def test_chain_is_best_by_brute_force():
     for seed in range(30):
         r = random.Random(seed)
