@@ -8,9 +8,9 @@ sorted array has the back-off weights of contexts. A text gets the language of l
 cross-entropy a character; one whose cross-entropy lies beyond what calibration texts of that
 language show, for its length, is rejected.
 
-The counts cover all training rows and grow with them. The model keeps at most MAX_NGRAMS n-grams
-a language, the most frequent, so what the driver gets is bounded; calibration uses at most about
-CALIBRATION_ROWS rows, chosen by hash.
+The counts cover all training rows and the model keeps every n-gram, so it grows with the distinct
+n-grams of the languages: the driver builds it and every executor holds it. Calibration uses at
+most about CALIBRATION_ROWS rows, chosen by hash.
 
 Edge cases: a null text, and one without a letter, is `und` with score 0 and rejected; with no
 labelled row every text is `und`; rows with a null lang or text teach nothing; ties go to the
@@ -31,7 +31,6 @@ from .textkit import U64, mix
 
 ORDER = 4
 DISCOUNT = 0.75
-MAX_NGRAMS = 1 << 18
 MAX_LANGS = 1024
 CALIBRATION_ROWS = 20_000
 MERGE_ROWS = 1 << 16  # counted n-grams a language that a task holds before it merges equal ones
@@ -230,12 +229,20 @@ class Model:
 
 
 def fit(training: DataFrame, calibration: DataFrame | None = None) -> Model:
-    """A model of training(lang, text); limits of rejection from calibration(lang, text)."""
-    counts = count(training.where("lang is not null and text is not null")).groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
+    """A model of training(lang, text); limits of rejection from calibration(lang, text).
 
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "hi", "lo"))
-    got = counts.withColumn("k", nth).where(F.col("k") <= MAX_NGRAMS).drop("k").orderBy("lang", "hi", "lo").toPandas()
+    Rows of calibration beyond its sample are counted like those of training.
+    """
+    training = training.select("lang", "text").where("lang is not null and text is not null")
+    known = sampled = None
+    if calibration is not None:
+        known = calibration.select("lang", "text").where("lang is not null and text is not null")
+        share = min(1.0, CALIBRATION_ROWS / max(known.count(), 1))
+        sampled = F.pmod(F.xxhash64("text"), 1 << 20) < int(share * (1 << 20))
+        if share < 1:
+            training = training.union(known.where(~sampled))
+    counts = count(training).groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"))
+    got = counts.orderBy("lang", "hi", "lo").toPandas()
     langs = sorted(got["lang"].unique(), key=lambda s: s.encode())
     if len(langs) > MAX_LANGS:
         raise ValueError(f"{len(langs)} languages; at most {MAX_LANGS}")
@@ -245,11 +252,8 @@ def fit(training: DataFrame, calibration: DataFrame | None = None) -> Model:
         mask = (1 << 32) - 1
         counted[lang] = (np.stack([hi >> 32, hi & mask, lo >> 32, lo & mask]).astype(np.uint32), g["n"].to_numpy())
     model = Model(langs, counted)
-    if calibration is not None and langs:
-        known = calibration.where("lang is not null and text is not null")
-        share = min(1.0, CALIBRATION_ROWS / max(known.count(), 1))
-        sample = known.where(F.pmod(F.xxhash64("text"), 1 << 20) < int(share * (1 << 20)))
-        scored = _scored(sample.select("lang", "text"), model, "lang").where("lang = lang_pred and n_scored > 0")
+    if known is not None and langs:
+        scored = _scored(known.where(sampled), model, "lang").where("lang = lang_pred and n_scored > 0")
         z = materialize(scored.select("lang", "entropy", "n_scored"))
         stats = z.groupBy("lang").agg(F.avg("entropy").alias("mean"))
         joined = z.join(F.broadcast(stats), "lang")  # a row for each of at most MAX_LANGS languages

@@ -337,3 +337,16 @@ def test_toxicity_scores_do_not_depend_on_sampling_rates(spark, monkeypatch):
     machine = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
     got = toxicity.score(docs, machine).agg(F.avg("score"), F.avg("predicted")).first()
     assert abs(got[0] - 0.1) < 0.05 and got[1] < 0.05
+
+
+def test_language_model_keeps_every_ngram(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [("zh", "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(10_000))) for _ in range(28)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    grams = {t[i : i + 4] for t in (f"   {t} " for _, t in rows) for i in range(len(t) - 3)}
+    assert len(model.probs[langid.ORDER - 1][0]) == len(grams) > 1 << 18
+    # Rows that could calibrate but aren't sampled are counted.
+    monkeypatch.setattr(langid, "CALIBRATION_ROWS", 10)
+    few = spark.createDataFrame([("aa", "abab abba")], "lang string, text string")
+    more = spark.createDataFrame([("aa", f"qz{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(100)], "lang string, text string")
+    assert len(langid.fit(few, more).probs[langid.ORDER - 1][0]) > len(langid.fit(few).probs[langid.ORDER - 1][0]) + 80
