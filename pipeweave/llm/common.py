@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,37 +15,98 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, which driver and executors share.
+    """A new folder name under spark.checkpoint.dir, which driver and executors share; it goes when the driver ends.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is chosen and set.
+    Only where the setting is absent and Spark runs on one machine a temporary folder is chosen and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pipeweave-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/pipeweave-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/pipeweave-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to BATCH_BYTES, or to what it has if that is less.
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Hold Arrow batches to BATCH_BYTES, or to what the session has if that is less, for what runs inside.
 
     A batch stands in the JVM's buffers and in the Python worker at once, so operators on whole texts bound it.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    size, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(key).strip().lower()).groups()
-    held = int(size) << 10 * " kmgtp".index(unit or " ")
-    if held > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    before = spark.conf.get(key)
+    size, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", before.strip().lower()).groups()
+    spark.conf.set(key, str(min(BATCH_BYTES, int(size) << 10 * " kmgtp".index(unit or " "))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def lean(run: Callable) -> Callable:
+    """run, a function over batches, with memory given back to the system when its task ends.
+
+    Workers outlive their tasks and would else hold the largest of all of them.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
+def _give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lost executors cost no recomputation."""
-    path = shared_dir(df.sparkSession)
+    path = f"{shared_dir(df.sparkSession)}/t"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_texts(df: DataFrame) -> DataFrame:
+    """materialize for a pass of Python over whole texts, in small batches."""
+    with small_batches(df.sparkSession):
+        return materialize(df)
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name, led by as many underscores as make it none of the frames' columns in any case of letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own(df: DataFrame) -> list:
+    """All columns of df, by quoted name."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Smallest node id reachable from every node of edges(a, b): returns (id, comp).
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import lean, materialize, materialize_texts
 from .textkit import U64, mix
 
 ORDER = 4
@@ -137,8 +137,7 @@ def count(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(n)), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(n.astype(np.int64))], ["lang", "hi", "lo", "n"])
 
-    small_batches(rows.sparkSession)
-    return rows.select("lang", "text").mapInArrow(run, "lang string, hi long, lo long, n long")
+    return rows.select("lang", "text").mapInArrow(lean(run), "lang string, hi long, lo long, n long")
 
 
 class Model:
@@ -268,7 +267,6 @@ def fit(training: DataFrame, calibration: DataFrame | None = None) -> Model:
 
 
 def _scored(rows: DataFrame, model: Model, key: str) -> DataFrame:
-    small_batches(rows.sparkSession)
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +278,7 @@ def _scored(rows: DataFrame, model: Model, key: str) -> DataFrame:
                     [b.column(0).slice(lo, len(texts)), pa.array(lang, pa.string()), pa.array(score.astype(float)), pa.array(low.astype(float)), pa.array(n.astype(np.int64)), pa.array(rejected)], names)
 
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, entropy double, n_scored long, rejected boolean")
+    return rows.mapInArrow(lean(run), f"`{key}` {kind}, lang_pred string, score double, entropy double, n_scored long, rejected boolean")
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

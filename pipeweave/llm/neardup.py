@@ -7,16 +7,21 @@
 3. Within a bucket (an equal band key) each member meets the bucket's smallest doc_id. The XOR
    population count of two odd sketches estimates their similarity; pairs far below the threshold
    fall out, each member's best pair is confirmed on full sets, and links give first components.
-4. Buckets that still hold several components are searched whole: pairs across components, sketch
-   first, full sets after. Buckets over BLOCK members are dealt in pairs of blocks, so no task
-   holds a hot bucket, and a task reports a spanning set of links, never all pairs.
+4. Buckets that still hold several components are searched whole, in pairs of blocks of at most
+   BLOCK members. Members of a bucket's largest component need not meet each other, so a bucket
+   that is nearly all one component costs its size and not its square. A first pass compares odd
+   sketches and keeps the members that have a near one in another component, each pair counting
+   only in the first band it shares. Only their full sets are fetched, in blocks of at most
+   BLOCK_SHINGLES, where a task reports a spanning set of confirmed links, never all pairs.
 
 A pair at the threshold shares a bucket but for one chance in about a million, and the sketch lets
 through pairs whose estimate is MARGIN below the threshold (over five standard deviations).
 
 Edge cases: texts are lower-cased in A-Z only; a text with fewer than five words is one shingle; a
-null or wordless text has an empty set and no links; rows that share a doc_id are one node and
-each come back; a null doc_id links with nothing and is kept; an empty table gives no rows.
+null or wordless text has an empty set and no links; rows that share a doc_id are one node, whose
+set is that of smallest fingerprint, and each come back; a null doc_id links with nothing and is
+kept; an empty table gives no rows. A very long text is one set, in one row, of 8 bytes a distinct
+shingle. Columns other than doc_id and text take no part and may have any names.
 """
 
 from __future__ import annotations
@@ -25,13 +30,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, small_batches
+from .common import connected_components, free_name, lean, materialize, materialize_texts, own, quoted
 from .textkit import U64, chunks, lowered, mix, short_hash, span_hashes, window_hashes, window_rows, words
 
 SHINGLE = 5
@@ -40,6 +44,8 @@ BANDS, ROWS = 24, 5
 SKETCH_BITS = 1024
 MARGIN = 0.2
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 20
+PAIRS = 1 << 18  # pairs of sketches compared at once
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _C = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.int64).astype(np.uint32)
@@ -62,7 +68,7 @@ def bands_for(percent: int) -> int:
 
 
 _SIGN = "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>, sketch array<long>"
-_SETS = "doc_id long, n_shingles long, members array<long>"
+_SETS = "doc_id long, n_shingles long, fp_a long, members array<long>"
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -120,6 +126,10 @@ def _list(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), flat)
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+
+
 def sign(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_shingles", "fp_a", "fp_b", "bands", "sketch"]
@@ -132,15 +142,14 @@ def sign(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
                 if len(some):
                     full = [sets[i] for i in some]
                     bands, sketch = signatures(full, n_bands)
-                    fp = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in full), np.int64).reshape(-1, 2)
+                    fp = fingerprints(full)
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(some)), pa.array(list(map(len, full)), pa.int64()), pa.array(np.ascontiguousarray(fp[:, 0])), pa.array(np.ascontiguousarray(fp[:, 1])), _list(bands), _list(sketch)], names)
                 if len(none):
                     empty = [pa.nulls(len(none), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays([ids.take(none), pa.array([0] * len(none), pa.int64()), *empty], names)
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SIGN)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), _SIGN)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -151,11 +160,10 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 at = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
                 flat = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), flat)],
-                    ["doc_id", "n_shingles", "members"])
+                    [b.column(0).slice(lo, hi - lo), pa.array(np.diff(at).astype(np.int64)), pa.array(fingerprints(sets)[:, 0]), pa.ListArray.from_arrays(pa.array(at), flat)],
+                    ["doc_id", "n_shingles", "fp_a", "members"])
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), _SETS)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,11 +179,75 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def link_block(rows: pd.DataFrame, percent: int, within: bool) -> list[tuple[int, int]]:
-    """Links that join components of a block's members; rows: doc_id, comp, side, sketch, members."""
-    ids, side, comp = (rows[c].to_numpy() for c in ("doc_id", "side", "comp"))
-    sketch = np.stack(rows["sketch"].to_numpy()).view(np.uint64)
-    members = rows["members"].tolist()
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups: rows that agree in the first `keys` columns, which stand together."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        cut = int(starts_of(t, keys)[-1]) if t.num_rows else 0
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+        held = t.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def starts_of(t: pa.Table, keys: int) -> np.ndarray:
+    """Where the groups of a table begin."""
+    new = np.ones(t.num_rows, bool)
+    new[1:] = False
+    for i in range(keys):
+        k = t.column(i).to_numpy()
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _matrix(t: pa.Table, name: str) -> np.ndarray:
+    """An array column of equal lengths as a matrix of unsigned words."""
+    flat = t.column(name).combine_chunks().flatten().to_numpy().view(np.uint64)
+    return flat.reshape(t.num_rows, -1)
+
+
+def _pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within each group, some PAIRS at a time."""
+    for m in np.unique(sizes[sizes > 1]).tolist():
+        lo = starts[sizes == m]
+        if m <= 64:
+            i, j = np.triu_indices(m, 1)
+            step = max(1, PAIRS // len(i))
+            for k in range(0, len(lo), step):
+                at = lo[k : k + step, None]
+                yield (at + i).ravel(), (at + j).ravel()
+        else:
+            for at in lo.tolist():
+                step = max(1, PAIRS // m)
+                for k in range(0, m, step):
+                    i, j = np.divmod(np.arange(k * m, min(k + step, m) * m), m)
+                    later = j > i
+                    yield at + i[later], at + j[later]
+
+
+def near_members(t: pa.Table, percent: int) -> np.ndarray:
+    """Rows of whole blocks with a near sketch in another component; key, kind, lo, hi, doc_id, comp, n_shingles, side, bands, sketch."""
+    key, kind, lo, hi, comp, size, side = (t.column(c).to_numpy() for c in ("key", "kind", "lo", "hi", "comp", "n_shingles", "side"))
+    bands, sketch = _matrix(t, "bands"), _matrix(t, "sketch")
+    starts = starts_of(t, 4)
+    within = (kind == 1) & (lo == hi)
+    most, hit = widest(percent), np.zeros(t.num_rows, bool)
+    for i, j in _pairs(starts, np.diff(np.r_[starts, t.num_rows])):
+        may = (comp[i] != comp[j]) & (within[i] | (side[i] != side[j]))
+        may &= 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+        i, j = i[may], j[may]
+        near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= most
+        i, j = i[near], j[near]
+        first = (bands[i] == bands[j]).argmax(axis=1)
+        mine = bands[i, first].view(np.int64) == key[i]
+        hit[i[mine]] = hit[j[mine]] = True
+    return np.flatnonzero(hit)
+
+
+def link_block(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, sketch: np.ndarray, members: list[np.ndarray], percent: int, within: bool) -> list[tuple[int, int]]:
+    """Links that join components of a block's members, confirmed on full sets."""
     size = np.fromiter(map(len, members), np.int64, len(members))
     comp, most, out = comp.copy(), widest(percent), []
     for i in range(len(ids)):
@@ -196,22 +268,91 @@ def link_block(rows: pd.DataFrame, percent: int, within: bool) -> list[tuple[int
     return out
 
 
+def _dealt(placed: DataFrame) -> DataFrame:
+    """placed(key, doc_id, comp) of open buckets in pairs of blocks: key, kind, lo, hi, doc_id, comp, side.
+
+    kind 0 is a block of the largest component (side 0) with one of the others (side 1); kind 1 a
+    pair of blocks of the others, or one such block with itself.
+    """
+    by = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max_by("comp", "n").alias("largest"), F.max("n").alias("n"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("comps")
+    )
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    open_ = materialize(by.where("comps > 1").select("key", "largest", blocks(F.col("n")).alias("a"), blocks(F.col("all") - F.col("n")).alias("b")))
+    x = placed.join(open_, "key")
+    h, spot = F.xxhash64("doc_id"), lambda *c: F.struct(*[F.lit(v).cast("int").alias(n) if isinstance(v, int) else v.alias(n) for n, v in zip(("kind", "lo", "hi", "side"), c)])
+    a, b = F.sequence(F.lit(0), F.col("a") - 1), F.sequence(F.lit(0), F.col("b") - 1)
+    i, j = F.pmod(h, F.col("a")).cast("int"), F.pmod(h, F.col("b")).cast("int")
+    spots = F.when(F.col("comp") == F.col("largest"), F.transform(b, lambda y: spot(0, i, y, 0))).otherwise(
+        F.concat(F.transform(a, lambda z: spot(0, z, j, 1)), F.transform(b, lambda y: spot(1, F.least(j, y), F.greatest(j, y), j)))
+    )
+    x = x.select("key", "doc_id", "comp", F.explode(spots).alias("s"))
+    return x.select("key", "s.kind", "s.lo", "s.hi", "doc_id", "comp", "s.side")
+
+
+def _together(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _more_links(placed: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links(a, b) between components that share a bucket of placed(key, doc_id, comp)."""
+    block = ["key", "kind", "lo", "hi"]
+    kinds = "key long, kind int, lo int, hi int, doc_id long, comp long, n_shingles long, side int"
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 4):
+            if len(hit := near_members(t, percent)):
+                yield from t.select(range(8)).take(pa.array(hit)).combine_chunks().to_batches()
+
+    dealt = _dealt(placed).join(sketches.select("doc_id", "n_shingles", "bands", "sketch"), "doc_id")
+    dealt = dealt.select(*block, "doc_id", "comp", "n_shingles", "side", "bands", "sketch")
+    some = materialize_texts(_together(dealt, *block).mapInArrow(lean(near), kinds))
+    parts = some.groupBy(*block).agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)).cast("int").alias("parts"))
+    x = some.join(parts, block).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int"))
+    x = x.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x = x.select(*block, F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "doc_id", "comp", "side")
+    x = x.join(sketches.select("doc_id", "sketch"), "doc_id").join(sets.select("doc_id", "members"), "doc_id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 6):
+            cols = [t.column(c).to_numpy() for c in ("doc_id", "comp", "side", "part", "kind", "lo", "hi", "p", "q")]
+            sketch, members = _matrix(t, "sketch"), t.column("members").combine_chunks()
+            at, flat = members.offsets.to_numpy(), members.values.to_numpy()
+            out = []
+            ends = starts_of(t, 6).tolist() + [t.num_rows]
+            for lo, hi in zip(ends, ends[1:]):
+                ids, comp, side, part, kind, x, y, p, q = (c[lo:hi] for c in cols)
+                own_block, one_part = kind[0] == 1 and x[0] == y[0], p[0] == q[0]
+                # Pairs across sides, or of any two in a block that meets itself; of different parts where there are two.
+                sides = np.zeros(hi - lo, np.int64) if own_block else side
+                sides = sides if one_part else part if own_block else sides * 2 + part
+                links = link_block(ids, comp, sides, sketch[lo:hi], [flat[at[k] : at[k + 1]] for k in range(lo, hi)], percent, own_block and one_part)
+                out += links
+            if out:
+                a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    ready = _together(x.select(*block, "p", "q", "doc_id", "comp", "side", "part", "sketch", "members"), *block, "p", "q")
+    return materialize_texts(ready.mapInArrow(lean(search), "a long, b long")).distinct()
+
+
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
-    signed = materialize(sign(docs, bands_for(percent)))
+    signed = materialize_texts(sign(docs, bands_for(percent)))
     named = signed.where("fp_a is not null and doc_id is not null")
     classes = materialize(named.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep")))
-    reps = named.join(classes.select(F.col("rep").alias("doc_id"), "fp_a", "fp_b"), ["doc_id", "fp_a", "fp_b"], "left_semi")
+    nodes = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("fp_a").alias("fp_a"))
+    reps = materialize(named.join(nodes, ["doc_id", "fp_a"], "left_semi").dropDuplicates(["doc_id"]))
     bands = reps.select(F.explode("bands").alias("key"), "doc_id")
     hubs = materialize(
-        bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("m"))
-        .where("hub <> last").drop("last")
+        bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").drop("last")
     )
     buckets = materialize(bands.join(hubs, "key"))
     busy = buckets.select("doc_id").distinct()
-    sketches = materialize(reps.join(busy, "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]))
+    sketches = materialize(reps.join(busy, "doc_id", "left_semi").select("doc_id", "fp_a", "n_shingles", "bands", "sketch"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    sets = materialize(full_sets(texts.join(sketches.select("doc_id"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    some = full_sets(texts.join(sketches.select("doc_id"), "doc_id", "left_semi"))
+    sets = materialize_texts(some.join(sketches.select("doc_id", "fp_a"), ["doc_id", "fp_a"], "left_semi")).dropDuplicates(["doc_id"])
     apart = F.expr("aggregate(zip_with(s_a, s_b, (x, y) -> bit_count(x ^ y)), 0, (t, c) -> t + c)")
     pairs = buckets.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     best = (
@@ -225,21 +366,8 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comps = connected_components(links)
     # What is left: buckets whose members are of several components.
     label = comps.select(F.col("id").alias("doc_id"), "comp")
-    placed = buckets.join(label, "doc_id", "left").select("key", "doc_id", "m", F.coalesce("comp", "doc_id").alias("comp"))
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("long")
-    mine = F.pmod(F.xxhash64("doc_id"), blocks)
-    rest = (
-        placed.join(open_, "key", "left_semi").withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .select("key", "doc_id", "comp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.col("mine").alias("side"))
-    )
-    rest = rest.join(sketches.select("doc_id", "sketch"), "doc_id").join(sets.select("doc_id", "members"), "doc_id")
-
-    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(link_block(rows, percent, key[1] == key[2]), columns=["a", "b"], dtype="int64")
-
-    more = materialize(rest.groupBy("key", "lo", "hi").applyInPandas(search, "a long, b long").distinct())
+    placed = materialize(buckets.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp")))
+    more = _more_links(placed, sketches, sets, percent)
     comps = connected_components(links.union(more)) if not more.isEmpty() else comps
     named_class = classes.join(comps, F.col("rep") == F.col("id"), "left").select(
         F.col("fp_a").alias("x"), F.col("fp_b").alias("y"), F.coalesce("comp", "rep").alias("comp")
@@ -252,14 +380,18 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group: the one of smallest doc_id, and one row of repeated rows.
 
-    Rows of null doc_id stay. Columns are those of docs.
+    Rows of null doc_id stay. Columns are those of docs, whatever their names.
     """
-    lost = components(docs, percent).where("not kept").select(F.col("doc_id").alias("__lost"))
-    kept = docs.join(lost, F.col("doc_id").cast("long") == F.col("__lost"), "left_anti")
-    repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__lost")))
+    lost, n = free_name("lost", docs), free_name("n", docs)
+    of = F.col("doc_id").cast("long") == F.col(lost)
+    kept = docs.join(components(docs, percent).where("not kept").select(F.col("doc_id").alias(lost)).distinct(), of, "left_anti")
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null")
+    repeated = materialize(ids.groupBy("id").count().where("count > 1").select(F.col("id").alias(lost)))
     if repeated.isEmpty():
         return kept
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    of = F.col("doc_id") == F.col("__lost")
-    once = kept.join(repeated, of, "left_semi").withColumn("__n", again).where("__n = 1").drop("__n")
+    # The row of smallest text; ties go by a hash of the columns that can be hashed.
+    plain = [F.col(quoted(c)) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    first = F.min_by(F.struct(*own(docs)), F.struct("text", F.xxhash64(*plain)))
+    once = kept.join(repeated, of, "left_semi").groupBy("doc_id").agg(first.alias(n))
+    once = once.select(*[F.col(n)[c].alias(c) for c in docs.columns])
     return kept.join(repeated, of, "left_anti").unionByName(once)
