@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH_BYTES = 4 << 20
 
@@ -89,6 +90,20 @@ def materialize_texts(df: DataFrame) -> DataFrame:
         return materialize(df)
 
 
+def map_rows(df: DataFrame, run: Callable, fields: list[T.StructField]) -> DataFrame:
+    """df through run, over Arrow batches whose columns it takes and gives by place, so names may be any."""
+    given = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    made = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+
+    def named(batches):
+        import pyarrow as pa
+
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, made.names)
+
+    return given.mapInArrow(lean(named), made).toDF(*[f.name for f in fields])
+
+
 def free_name(name: str, *frames: DataFrame) -> str:
     """name, led by as many underscores as make it none of the frames' columns in any case of letters."""
     taken = {c.lower() for f in frames for c in f.columns}

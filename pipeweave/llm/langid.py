@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, materialize_texts
+from .common import lean, map_rows, materialize, materialize_texts
 from .textkit import U64, mix
 
 ORDER = 4
@@ -311,4 +311,4 @@ def accepted(docs: DataFrame) -> DataFrame:
             for lo, texts in _batches(b.column(at)):
                 yield b.slice(lo, len(texts)).filter(pa.array(~model.value.predict(texts)[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return materialize_texts(map_rows(docs, run, docs.schema.fields))

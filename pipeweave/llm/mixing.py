@@ -9,7 +9,8 @@ number of such documents. Nothing is sorted and no document list leaves the exec
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; repeated
 doc_ids share a hash and are each counted; null doc_ids share one hash; a source without words has
-target 0; an empty table gives no rows.
+target 0; an empty table gives no rows. A very long text is read whole and may be taken in part.
+Other columns may have any names; `mixed` returns them all.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import free_name, map_rows, materialize, materialize_texts, own
 from .textkit import chunks, words
 
 WEIGHTS = (5, 2, 1)
@@ -31,9 +32,8 @@ BROADCAST_SOURCES = 100_000
 BITS, LEVELS = 13, 4  # 52 bits of hash in four refinements
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with its number of words as __size."""
-    fields = T.StructType([*docs.schema.fields, T.StructField("__size", T.LongType())])
+def sized(docs: DataFrame, name: str = "size") -> DataFrame:
+    """docs with its number of words under that name."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,9 +41,9 @@ def sized(docs: DataFrame) -> DataFrame:
             n = [np.zeros(0, np.int64)]
             for _, _, data, bounds in chunks(b.column(at)):
                 n.append(np.diff(words(data, bounds)[2]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(n))], [*b.schema.names, "__size"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(n))], [*b.schema.names, "n"])
 
-    return docs.mapInArrow(run, fields)
+    return map_rows(docs, run, [*docs.schema.fields, T.StructField(name, T.LongType())])
 
 
 def doc_hash(doc_id: Column) -> Column:
@@ -115,31 +115,33 @@ def thresholds(held: DataFrame, weights: tuple[int, ...], max_repeat: int) -> Da
 
 
 def _taken(size: Column, h: Column) -> Column:
+    """Words taken of a document of that size and hash, beside its source's state as the struct `state`."""
+    at = lambda c: F.col("state")[c]
     extra = (
-        F.when(h < F.col("prefix"), size)
-        .when((h == F.col("prefix")) & (F.col("tie") > 0), F.floor(size * F.col("left") / F.col("tie")))
+        F.when(h < at("prefix"), size)
+        .when((h == at("prefix")) & (at("tie") > 0), F.floor(size * at("left") / at("tie")))
         .otherwise(0).cast("long")
     )
-    return F.col("copies") * size + extra
+    return at("copies") * size + extra
 
 
 def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
     """rows(source, ...) beside its source's state; broadcast only if no more than BROADCAST_SOURCES rows."""
-    side = state.withColumnRenamed("source", "__s")
+    side = state.select(F.col("source").alias("s"), F.struct(*[c for c in state.columns if c != "source"]).alias("state"))
     side = F.broadcast(side) if side.count() <= BROADCAST_SOURCES else side
-    return rows.join(side, F.col("source").cast("string").eqNullSafe(F.col("__s")))
+    return rows.join(side, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
 def _hold(docs: DataFrame) -> DataFrame:
     x = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"))
-    return materialize(x.select("doc_id", "source", F.col("__size").alias("size"), doc_hash(F.col("doc_id")).alias("h")))
+    return materialize_texts(x.select("doc_id", "source", "size", doc_hash(F.col("doc_id")).alias("h")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of docs(doc_id, source, text)."""
     held = _hold(docs)
     x = _with_state(held, thresholds(held, weights, max_repeat))
-    return x.select("doc_id", "source", "size", "source_size", "target", _taken(F.col("size"), F.col("h")).alias("taken"))
+    return x.select("doc_id", "source", "size", "state.source_size", "state.target", _taken(F.col("size"), F.col("h")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -149,8 +151,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int =
     is taken, those without words among them, are left out.
     """
     state = thresholds(_hold(docs), weights, max_repeat)
-    x = _with_state(sized(docs), state)
-    x = x.select(*docs.columns, "__size", _taken(F.col("__size"), doc_hash(F.col("doc_id").cast("long"))).alias("__taken"))
+    n = free_name("size", docs)
+    # The row goes along as one struct, so none of its names can be taken for another.
+    x = sized(docs, n).select(
+        F.struct(*own(docs)).alias("row"), F.col(n).alias("size"), F.col("source").cast("string").alias("source"), doc_hash(F.col("doc_id").cast("long")).alias("h")
+    )
+    x = _with_state(x, state)
+    size, taken = free_name("size", docs), free_name("taken", docs)
+    x = x.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("size").alias(size), _taken(F.col("size"), F.col("h")).alias(taken))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +174,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int =
                     heads = [_head(t, int(p[i])) for t, i in zip(cut.column(at).to_pylist(), some)]
                     yield cut.set_column(at, b.schema.field(at), pa.array(heads, b.schema.field(at).type))
 
-    return x.mapInArrow(run, docs.schema)
+    return materialize_texts(map_rows(x, run, docs.schema.fields))
 
 
 def _head(text: str, n: int) -> str:

@@ -7,8 +7,8 @@ remaining lengths finds the fullest feasible combination; that pattern is used a
 stock allows and removed. Executors then map the rank of a piece within its length to its place.
 
 Edge cases: a null text is empty, so its only token is the end id; repeated rows and repeated or
-null doc_ids are packed as rows of their own; an empty table gives no sequence. Extra columns of
-the input take no part and can't clash.
+null doc_ids are packed as rows of their own; an empty table gives no sequence. A very long text is
+encoded whole and cut. Extra columns of the input take no part and can't clash.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize, materialize_texts
 from .tokens import default_tokenizer, encoder
 
 CAPACITY = 1024
@@ -43,6 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         from pyspark import TaskContext
 
         part, key, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        enc.clear()
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -54,8 +55,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             names = [f.split()[0] for f in _PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+        enc.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), _PIECES)
 
 
 def fullest(stock: np.ndarray, capacity: int) -> list[int]:
@@ -118,7 +120,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     Ranks within a length come from counts by (part, length), where a part is a task of the
     tokenising pass, so no length, however common, is gathered in one task.
     """
-    held = materialize(pieces(docs, tokenizer or default_tokenizer(), capacity, end_id))
+    held = materialize_texts(pieces(docs, tokenizer or default_tokenizer(), capacity, end_id))
     # One row for each pair of a tokenising task and a length in it; the running sum over tasks is
     # taken for each length apart.
     counts = held.groupBy("length", "part").count()
@@ -141,7 +143,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     from pyspark.sql import Window
 
     w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("length", "part", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("first"))
+    # Written, as both sides of the co-group must not descend from one scan: the optimizer would prune
+    # the columns of both by what is read of one.
+    firsts = materialize(counts.select("length", "part", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("first")))
     return held.groupBy("part").cogroup(firsts.groupBy("part")).applyInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )

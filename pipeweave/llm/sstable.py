@@ -16,7 +16,8 @@ index and walks that block. Shards are written under names of their task attempt
 the manifest, which lists successful tasks, are read, so a lost executor leaves no wrong output.
 
 Edge cases: a null text is empty (the end id alone); repeated doc_ids are neighbouring entries and
-all come back from a lookup; an empty table gives no shard.
+all come back from a lookup; an empty table gives no shard; a very long text is one entry of one
+block, which is then as long. Columns other than doc_id and text take no part.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import lean, shared_dir, small_batches
 from .tokens import default_tokenizer, encoder
 
 END_ID = 2
@@ -41,7 +42,7 @@ BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"PWSST\x00\x00\x01"
 FOOTER = struct.Struct("<QQQQQQI8s")
-SHARD_MB = 64
+SHARD_BYTES = 256 << 20  # of UTF-8 text, which ids take less of
 _MANIFEST = "shard int, path string, docs long, tokens long, bytes long"
 
 
@@ -181,7 +182,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     """Write docs(doc_id, text) as shards under folder; returns the manifest, one entry a shard, in key order.
 
     Rows are ranged by (doc_id, hash of text), so repeated doc_ids may be split; text and not ids
-    are shuffled. The manifest has as many rows as there are shards.
+    are shuffled. The manifest has as many rows as there are shards: one for SHARD_BYTES of text,
+    and as many as the session has shuffle partitions at least.
     """
     tokenizer = tokenizer or default_tokenizer()
     spark = docs.sparkSession
@@ -192,6 +194,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
 
         writer = path = None
         enc = encoder(tokenizer)
+        enc.clear()
         width = 2 if max(enc.library.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
         part = TaskContext.get().partitionId()
         for b in batches:
@@ -202,18 +205,25 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
                     store.create_dir(local.rsplit("/", 1)[0], recursive=True)
                     writer = Writer(store.open_output_stream(local), width)
                 writer.add(doc, enc.encode(text.as_py() or "") + end)
+        enc.clear()
         if writer is not None:
             writer.close()
             cols = [pa.array([x], t) for x, t in ((part, pa.int32()), (path, pa.string()), (writer.docs, pa.int64()), (writer.tokens, pa.int64()), (writer.at, pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["shard", "path", "docs", "tokens", "bytes"])
 
-    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = shards or _shards(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     ranged = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
-    listed = ranged.select("doc_id", "text").mapInArrow(run, _MANIFEST).collect()
+    with small_batches(spark):
+        listed = ranged.select("doc_id", "text").mapInArrow(lean(run), _MANIFEST).collect()
     return [r.asDict() for r in sorted(listed, key=lambda r: r["shard"])]
 
 
+def _shards(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(-(-size // SHARD_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
 def read(spark, manifest: list[dict]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the shards, each shard read by one task."""
     fields = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -232,7 +242,7 @@ def read(spark, manifest: list[dict]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
     listed = spark.createDataFrame(rows, "path string, first long").repartition(len(rows))
-    return listed.mapInArrow(run, fields)
+    return listed.mapInArrow(lean(run), fields)
 
 
 def write_and_read(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:

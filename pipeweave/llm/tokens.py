@@ -2,8 +2,9 @@
 
 For a byte-level BPE without normaliser, ids of a text are the ids of its pre-tokens in turn, so
 each distinct pre-token is encoded by the library's model and kept in a cache of two generations
-of CACHE_PIECES each. A space ends a pre-token wherever it isn't between (or after) white space, so
-the runs between such spaces are kept in a second cache and only new runs are split by the pattern.
+of at most PIECE_BYTES each. A space ends a pre-token wherever it isn't between (or after) white
+space, so the runs between such spaces are kept in a second cache, of RUN_BYTES a generation, and
+only new runs are split by the pattern. Pieces and runs over LONGEST characters are never kept.
 Texts holding an added token's string, and any other kind of tokenizer, go to the library whole.
 """
 
@@ -17,7 +18,7 @@ from array import array
 
 import numpy as np
 
-CACHE_PIECES = 250_000
+PIECE_BYTES, RUN_BYTES, LONGEST = 8 << 20, 48 << 20, 256
 #: The splitting pattern of the byte-level pre-tokenizer (a fixed value of the format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -60,49 +61,82 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
         self.split = regex.compile(SPLIT).findall
         self.alphabet = _alphabet()
+        self.clear()
+
+    def clear(self) -> None:
+        """Empty the caches, so that an idle worker holds none."""
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.older_runs: dict[str, bytes] = {}
+        self.cache_bytes = self.run_bytes = 0
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def piece(self, p: str) -> bytes:
+    def model_ids(self, p: str) -> bytes:
+        """Ids of a pre-token."""
         if p.isascii() and p.isprintable():
             spelled = p.replace(" ", self.alphabet[32])
         else:
             spelled = p.encode().decode("latin-1").translate(self.alphabet)
         return _u4([t.id for t in self.model.tokenize(spelled)])
 
+    def piece(self, p: str) -> bytes:
+        ids = self.cache.get(p)
+        if ids is None:
+            ids = self.older.get(p) or self.model_ids(p)
+            if len(p) <= LONGEST:
+                self.cache[p] = ids
+                self.cache_bytes += _size(p, ids)
+                if self.cache_bytes > PIECE_BYTES:  # two generations: what is still in use moves over
+                    self.older, self.cache, self.cache_bytes = self.cache, {}, 0
+        return ids
+
     def split_and_encode(self, text: str) -> bytes:
-        cache, out = self.cache, []
-        for p in self.split(text):
-            ids = cache.get(p)
-            if ids is None:
-                ids = cache[p] = self.older.get(p) or self.piece(p)
-            out.append(ids)
-        if len(cache) > CACHE_PIECES:  # two generations: what is still in use moves over
-            self.older, self.cache = cache, {}
-        return b"".join(out)
+        return b"".join(map(self.piece, self.split(text)))
+
+    def run(self, r: str) -> bytes:
+        """Ids of a run and the space before it."""
+        ids = self.older_runs.get(r)
+        if ids is None:
+            if r.isalpha():  # one pre-token
+                ids = self.model_ids(" " + r)
+            elif r[-1] in ".,;:" and r[:-1].isalpha():
+                ids = (self.runs.get(r[:-1]) or self.run(r[:-1])) + self.piece(r[-1])
+            else:
+                ids = self.split_and_encode(" " + r)
+        if len(r) <= LONGEST:
+            self.runs[r] = ids
+            self.run_bytes += _size(r, ids)
+        return ids
 
     def encode(self, text: str) -> bytes:
         if not self.piecewise or any(a in text for a in self.added):
             return self.whole(text)
-        if _INNER_SPACE.search(text):
-            return self.split_and_encode(text)
         head, *rest = text.split(" ")
-        runs, out = self.runs, [self.split_and_encode(head)]
+        runs, checked = self.runs, False
+        out = [self.split_and_encode(head)]
         for r in rest:
             ids = runs.get(r)
             if ids is None:
-                ids = runs[r] = self.older_runs.get(r) or self.split_and_encode(" " + r)
+                if not r or r[0].isspace():  # never kept: the space before it may lie inside white space
+                    if not checked and _INNER_SPACE.search(text):
+                        return self.split_and_encode(text)
+                    checked = True
+                    ids = self.split_and_encode(" " + r)
+                else:
+                    ids = self.run(r)
             out.append(ids)
-        if len(runs) > CACHE_PIECES:
-            self.older_runs, self.runs = runs, {}
+        if self.run_bytes > RUN_BYTES:
+            self.older_runs, self.runs, self.run_bytes = runs, {}, 0
         return b"".join(out)
 
 
+def _size(key: str, value: bytes) -> int:
+    return sys.getsizeof(key) + sys.getsizeof(value) + 100  # and their place in a dictionary
+
+
 def _u4(ids: list[int]) -> bytes:
     a = array("I", ids)
     if a.itemsize != 4 or sys.byteorder != "little":
