@@ -1,27 +1,33 @@
 """URL rules found by their rarest literal token; DataFrame expressions only.
 
 A rule is a host and a path prefix with a verdict. Its tokens are its host labels and whole path
-segments; of these the one that fewest pages hold indexes the rule. A page's tokens fetch the
-rules they index, and only those run their regular expression on the page's host and path. The
-longest rule that fits decides, ties going to the rule text smaller in code points; where none
-fits, `default` does.
+segments; of these the one that fewest pages hold indexes the rule. The tokens of each distinct
+(host, path) fetch the rules they index, by a hash join, and only those run their regular
+expressions. The longest rule that fits decides, ties going to the rule text smaller in code
+points; where none fits, `default` does.
 
-The index is a literal of the plan: a rule list is a parameter of at most MAX_RULES rules, so its
-size doesn't depend on the pages. Nothing is shuffled but the counts of the rules' own tokens.
+Rules are a table of any size, broadcast only up to BROADCAST_RULES rows. Pages without a token of
+the index take no part in the search; verdicts go back to pages by (host, path), a join that splits
+where many pages share one.
 
 Edge cases: a null url, or one without `://`, has an empty host and path and no rule; other nulls,
-repeated rows, extra columns and empty tables pass through; an empty rule list leaves the default.
+repeated rows and empty tables pass through; an empty rule list leaves the default. A very long url
+has as many tokens as it has labels and segments. Columns other than page_id and url take no part
+and may have any names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RULES = 10_000
+from .common import materialize
+
+BROADCAST_RULES = 100_000
 
 
 @dataclass(frozen=True)
@@ -35,9 +41,13 @@ class Rule:
         return f"{self.host}{self.path}"
 
     @property
-    def regex(self) -> str:
-        """Fits `host path` strings: the host itself or a subdomain, then a path that starts so."""
-        return rf"^(?:[^ ]*\.)?{_escaped(self.host)} {_escaped(self.path)}"
+    def host_regex(self) -> str:
+        """Fits the host itself and its subdomains."""
+        return rf"(?s)^(?:.*\.)?{_escaped(self.host)}\z"
+
+    @property
+    def path_regex(self) -> str:
+        return f"^{_escaped(self.path)}"
 
     @property
     def tokens(self) -> list[str]:
@@ -77,43 +87,42 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(tagged(F.split(host, r"\."), "h:"), tagged(F.split(path, "/"), "p:")))
 
 
-def index(pages: DataFrame, rules: list[Rule]) -> dict[str, list[Rule]]:
-    """Rules by the token of theirs that fewest pages hold; ties go to the first in code point order."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES}")
-    vocabulary = sorted({t for r in rules for t in r.tokens})
-    found = F.array_intersect(tokens_of(host_of(F.col("url")), path_of(F.col("url"))), F.array(*map(F.lit, vocabulary)))
-    seen = pages.select(F.explode(found).alias("token")).groupBy("token").count().collect() if vocabulary else []
-    count = {r["token"]: r["count"] for r in seen}
-    out: dict[str, list[Rule]] = {}
-    for r in rules:
-        key = min(r.tokens, key=lambda t: (count.get(t, 0), t), default="")
-        out.setdefault(key, []).append(r)
-    return out
+def table(pages: DataFrame, rules: list[Rule]) -> DataFrame:
+    """rule, verdict, rank, host_regex, path_regex, tokens: a row for each rule."""
+    rows = [
+        {"rule": r.text, "verdict": r.verdict, "rank": -len(r.text), "host_regex": r.host_regex, "path_regex": r.path_regex, "tokens": r.tokens} for r in rules
+    ]
+    kind = "array<struct<rule:string,verdict:string,rank:int,host_regex:string,path_regex:string,tokens:array<string>>>"
+    return pages.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
+
+
+def index(x: DataFrame, rules: DataFrame, few: bool) -> DataFrame:
+    """rules by the token of theirs that fewest rows of x(host, path) hold; ties go to the first in code point order.
+
+    A rule without a token is indexed by the empty one, which every row has.
+    """
+    hint = F.broadcast if few else lambda d: d
+    vocabulary = rules.select(F.explode("tokens").alias("token")).distinct()
+    seen = x.select(F.explode(tokens_of(F.col("host"), F.col("path"))).alias("token")).join(hint(vocabulary), "token").groupBy("token").count()
+    each = rules.select("*", F.explode_outer("tokens").alias("token")).join(seen, "token", "left")
+    best = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.coalesce("token", F.lit("")).alias("token")))
+    return each.groupBy("rule", "verdict", "rank", "host_regex", "path_regex").agg(best.alias("by")).select(
+        "rule", "verdict", "rank", "host_regex", "path_regex", F.col("by.token").alias("token")
+    )
 
 
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages(page_id, url)."""
     x = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    by = index(pages, rules)
     if not rules:
         return x.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    entries = [
-        F.struct(F.lit(key).alias("token"), F.array(*[
-            F.struct(
-                F.lit(-len(r.text)).alias("rank"), F.lit(r.text).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex).alias("regex"),
-            ) for r in held
-        ]).alias("rules"))
-        for key, held in sorted(by.items())
-    ]
-    table = F.map_from_entries(F.array(*entries))
-    target = F.concat_ws(" ", "host", "path")
-    keys = F.array_intersect(
-        F.array_append(tokens_of(F.col("host"), F.col("path")), F.lit("")), F.array(*map(F.lit, sorted(by)))
-    )
-    fetched = F.flatten(F.transform(keys, lambda t: F.element_at(table, t)))
-    fitting = F.filter(fetched, lambda r: F.rlike(target, r["regex"]) & (F.col("host") != ""))
-    x = x.withColumn("__won", F.array_min(fitting))
-    return x.select(
-        "page_id", "host", "path", F.col("__won.rule").alias("rule"), F.coalesce("__won.verdict", F.lit(default)).alias("verdict")
+    few = len(rules) <= BROADCAST_RULES
+    hint = F.broadcast if few else lambda d: d
+    by = materialize(index(x, table(pages, rules), few))
+    urls = x.where("host <> ''").select("host", "path").distinct()
+    asked = urls.select("host", "path", F.explode(F.array_append(tokens_of(F.col("host"), F.col("path")), F.lit(""))).alias("token"))
+    fitting = asked.join(hint(by), "token").where(F.rlike("host", F.col("host_regex")) & F.rlike("path", F.col("path_regex")))
+    won = fitting.groupBy("host", "path").agg(F.min(F.struct("rank", "rule", "verdict")).alias("won"))
+    return x.join(won, ["host", "path"], "left").select(
+        "page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict")
     )

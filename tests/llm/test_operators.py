@@ -247,12 +247,16 @@ def test_toxicity_learns_pairs(spark):
 
 
 def test_url_rules(spark):
-    urls = ["https://WWW.example.net/en/1", "http://example.net/fr", "x://a.example.com/de/?q", "x://example.com/de", "http://notnet/", "net/", None, "x://a.org/fr/x#y", "x://a.net", "http://a.net?x://b.org/fr/"]
+    urls = ["https://WWW.example.net/en/1", "http://example.net/fr", "x://a.example.com/de/?q", "x://example.com/de", "http://notnet/", "net/", None, "x://a.org/fr/x#y", "x://a.net", "http://a.net?x://b.org/fr/", "http://a b.net/x", "x://.net/", "x://net\n/", "x://a\n.net/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlrules.judge(pages, urlrules.parse(["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"])).collect()}
     none = (None, "allow")
-    assert [got[i] for i in range(10)] == [("example.net/en/", "allow"), ("net/", "block"), ("example.com/de/", "block"), none, none, none, none, ("org/fr/", "allow"), none, none]
-    assert urlrules.judge(pages, []).where("verdict = 'allow'").count() == 10
+    net = ("net/", "block")
+    assert [got[i] for i in range(14)] == [("example.net/en/", "allow"), net, ("example.com/de/", "block"), none, none, none, none, ("org/fr/", "allow"), none, none, net, net, none, net]
+    assert urlrules.judge(pages, []).where("verdict = 'allow'").count() == 14
+    many = urlrules.parse([f"block h{i}.example.org/p{i}/" for i in range(12_000)])
+    one = spark.createDataFrame([(1, "x://a.h7.example.org/p7/"), (1, "x://a.h7.example.org/p7/"), (2, "x://h8.example.org/p7/")], "page_id long, url string")
+    assert sorted(r["verdict"] for r in urlrules.judge(one, many).collect()) == ["allow", "block", "block"]
 
 
 def test_mix_meets_targets(spark):
