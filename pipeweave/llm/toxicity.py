@@ -1,19 +1,23 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are words in A-Z lower case without ASCII punctuation at their ends, as 64-bit hashes. From
-a bounded sample of labelled rows the terms that tell the classes apart best (chi-square) are
-chosen, and a second-order factorization machine is fitted to their presence: a weight a term and
-a vector of FACTORS numbers a term whose inner products are the weights of pairs, so an insult
-beside the mention of a group can count for more than both alone.
+a bounded sample of labelled rows those terms are chosen that tell the classes apart, alone
+(chi-square) or as a pair: two of the PAIR_TERMS most frequent terms whose four cases, both, one,
+the other and neither, differ from what the two tell alone, even where each alone tells nothing.
+A second-order factorization machine is fitted to their presence: a weight a term and a vector of
+FACTORS numbers a term whose inner products are the weights of pairs, so an insult beside the
+mention of a group can count for more, or less, than both alone.
 
 The sample holds at most about SAMPLE labelled rows of each class (chosen by a hash of the id) and
-at most TERMS terms, so what is collected for fitting is bounded; scoring reads every whole text.
+at most TERMS terms of single and 2 * PAIR_TERMS of joint effect, so what is collected for fitting
+is bounded; scoring reads every whole text.
 Where the classes are sampled at different rates, the log of their ratio is taken from the fitted
 log odds, so scores are at the classes' own shares, however many labels there are.
 
 Edge cases: a null, empty or wordless text scores as one without any chosen term; without labelled
 rows, or with one class only, every score is the share of that class (0 without rows); several
 labels of one id count as toxic if one is; repeated rows score alike; an empty table gives no rows.
+A very long text is scored whole; a term counts once. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -25,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize, materialize_texts
 from .textkit import chunks, lowered, span_hashes, words
 
 SAMPLE = 12_000
 TERMS, MIN_DOCS, MIN_CHI2 = 4096, 4, 15.0
+PAIR_TERMS, MIN_GAIN = 512, 30.0
 FACTORS, EPOCHS, MIN_STEPS, BATCH, RATE, DECAY = 8, 20, 800, 256, 0.1, 1e-4
 THRESHOLD = 0.7
 _PUNCTUATION = np.zeros(256, bool)
@@ -123,6 +128,45 @@ def sample(labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
     return one.where(keep), rates
 
 
+def _indexed(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(classes, places among the sorted keys of each row's terms) of the sampled rows."""
+    held = rows.sparkSession.sparkContext.broadcast(keys)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = held.value
+        for b in batches:
+            out = []
+            for x in b.column(1):
+                h = x.values.to_numpy().view(np.uint64)
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else h[:0].astype(np.int64)
+                out.append(at[keys[at] == h].astype(np.int32) if len(keys) else at)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["toxic", "at"])
+
+    got = rows.mapInArrow(index, "toxic int, at array<int>").toArrow()
+    return got.column("toxic").to_numpy().astype(float), [x.values.to_numpy() for x in got.column("at").combine_chunks()]
+
+
+def joint(texts: list[np.ndarray], y: np.ndarray, width: int) -> np.ndarray:
+    """Places of terms in pairs whose four cases tell the classes apart by MIN_GAIN more than the two terms alone."""
+    both, toxic = np.zeros((width, width)), np.zeros((width, width))
+    for lo in range(0, len(texts), 1024):
+        part = texts[lo : lo + 1024]
+        x = np.zeros((len(part), width), np.float32)
+        x[np.repeat(np.arange(len(part)), list(map(len, part))), np.concatenate(part).astype(np.int64)] = 1
+        both += x.T @ x
+        bad = x[y[lo : lo + 1024] == 1]
+        toxic += bad.T @ bad
+    total, share = len(texts), float(y.mean())
+    spread = lambda k, n: (k - n * share) ** 2 / (n * share * (1 - share) + 0.5)
+    n, k = np.diag(both), np.diag(toxic)
+    one = spread(k, n) + spread(y.sum() - k, total - n)
+    cases = spread(toxic, both) + spread(k[:, None] - toxic, n[:, None] - both) + spread(k[None] - toxic, n[None] - both)
+    cases += spread(y.sum() - k[:, None] - k[None] + toxic, total - n[:, None] - n[None] + both)
+    gain = cases - one[:, None] - one[None]
+    np.fill_diagonal(gain, 0)
+    return np.flatnonzero((gain >= MIN_GAIN).any(axis=1))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     """A machine fitted to docs(doc_id, text) with labels(doc_id, toxic)."""
 
@@ -137,36 +181,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     # The sample's size is bounded by SAMPLE, whatever the size of labels.
     chosen, rates = sample(labels)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = materialize(picked.select("toxic", "text").mapInArrow(run, "toxic int, terms array<long>"))
+    rows = materialize_texts(picked.select("toxic", "text").mapInArrow(lean(run), "toxic int, terms array<long>"))
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     total, bad = sum(n.values()), n.get(1, 0)
     if not bad or bad == total:
         machine = Machine(np.zeros(0, np.uint64), 0.0)
         machine.w0 = -40.0 if not bad else 40.0
         return machine
-    t = rows.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
+    t = materialize(
+        rows.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).where(F.col("n") >= MIN_DOCS)
+    )
     n_, k_ = F.col("n").cast("double"), F.col("k").cast("double")
     gap = k_ * total - n_ * bad
     chi2 = gap * gap * total / (n_ * (total - n_ + 0.5) * float(bad) * float(total - bad))
-    best = t.where(F.col("n") >= MIN_DOCS).select("term", chi2.alias("chi2")).where(F.col("chi2") >= MIN_CHI2)
-    keys = np.asarray([r["term"] for r in best.orderBy(F.col("chi2").desc(), "term").limit(TERMS).collect()], np.int64).view(np.uint64)
+    alone = t.select("term", chi2.alias("chi2")).where(F.col("chi2") >= MIN_CHI2).orderBy(F.col("chi2").desc(), "term").limit(TERMS)
+    often = t.where(F.col("n") < total).orderBy(F.col("n").desc(), "term").limit(PAIR_TERMS)
+    number = lambda found: np.sort(np.asarray([r["term"] for r in found.collect()], np.int64).view(np.uint64))
+    frequent = number(often)
+    y, at = _indexed(rows, frequent)
+    keys = np.union1d(number(alone), frequent[joint(at, y, len(frequent))])
     machine = Machine(keys, float(np.log(bad / (total - bad))))
-    held = rows.sparkSession.sparkContext.broadcast(machine.keys)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = held.value
-        for b in batches:
-            out = []
-            for x in b.column(1):
-                h = x.values.to_numpy().view(np.uint64)
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else h[:0].astype(np.int64)
-                out.append(at[keys[at] == h].astype(np.int32) if len(keys) else at)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["toxic", "at"])
-
+    y, at = _indexed(rows, machine.keys)
     # In the order of the rows' own contents, so that a rerun fits the same machine.
-    got = rows.mapInArrow(index, "toxic int, at array<int>").toArrow()
-    at = [x.values.to_numpy() for x in got.column("at").combine_chunks()]
-    y = got.column("toxic").to_numpy().astype(float)
     order = sorted(range(len(at)), key=lambda i: (y[i], at[i].tobytes()))
     machine.fit([at[i] for i in order], y[order])
     machine.w0 -= float(np.log(rates[1] / rates[0]))
@@ -183,4 +219,4 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 s = held.value.score(*terms(data, bounds), hi - lo)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, score double, predicted int")

@@ -246,6 +246,19 @@ def test_toxicity_learns_pairs(spark):
     assert np.mean([got[i]["predicted"] == labels[i] for i in range(600, 800)]) > 0.95
 
 
+def test_toxicity_learns_pairs_that_tell_nothing_alone(spark):
+    r = random.Random(8)
+    texts, labels = [], []
+    for i in range(4000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        texts.append(prose(20, i) + (" fools" if a else "") + (" those" if b else ""))
+        labels.append(int(a != b))
+    docs = table(spark, texts)
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.score(docs, toxicity.fit(docs, marks.where("doc_id < 3000"))).collect()}
+    assert np.mean([(got[i]["score"] > 0.5) == labels[i] for i in range(3000, 4000)]) > 0.9
+
+
 def test_url_rules(spark):
     urls = ["https://WWW.example.net/en/1", "http://example.net/fr", "x://a.example.com/de/?q", "x://example.com/de", "http://notnet/", "net/", None, "x://a.org/fr/x#y", "x://a.net", "http://a.net?x://b.org/fr/", "http://a b.net/x", "x://.net/", "x://net\n/", "x://a\n.net/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
