@@ -217,7 +217,7 @@ def test_neighbours_against_brute_force(spark):
     rows += [(1000, None), (1001, [0.0] * 24), (1002, [float("nan")] * 24), (1003, [1.0]), (None, rows[0][1])]
     got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect()
     w = np.array([x for _, x in rows[:600]])
-    s = ann.cosines(w[::20], w)
+    s = np.stack([ann.cosines(np.broadcast_to(x, w.shape), w) for x in w[::20]])
     hit = 0
     for k, q in enumerate(range(0, 600, 20)):
         s[k, q] = -9
@@ -345,6 +345,12 @@ def test_neighbours_of_repeated_ids(spark):
     assert [r["rank"] for r in got] == [1, 2, 3, 4, 5]
 
 
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [1.0, 0.0])]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert {r["vec_id"] for r in got[:2]} == {1, 2} and got[2]["vec_id"] == 3 and all(abs(r["score"] - 1) < 1e-15 for r in got[:2])
+
+
 def test_toxicity_scores_do_not_depend_on_sampling_rates(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE", 200)
     r = random.Random(4)
