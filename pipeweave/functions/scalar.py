@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from ..lang.ast import Binary, Call, Lit, Name, Unary, Window
 from ..lang.diagnostics import fail
 from . import temporal
-from .values import Value, as_text, boolean, literal, null, number, parse_number, render, unify
+from .values import Value, as_text, boolean, literal, null, number, order_key, parse_number, render, unify
 
 _SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 #: Scalar functions and how many arguments they take (fixed by the language).
@@ -122,6 +125,8 @@ class Scope:
         return Value(F.when(~zero, a / b).when(zero, by_zero), "num")
 
     def compare(self, e: Binary) -> Value:
+        if (typed := self.compare_time(e)) is not None:
+            return Value(typed, "bool")
         a, b = self.scalar(e.left), self.scalar(e.right)
         for one, other in ((e.left, b), (e.right, a)):
             if isinstance(one, Lit) and one.value is None and e.op in ("==", "!="):
@@ -143,6 +148,42 @@ class Scope:
             x, y = render(a), render(b)
         return Value(_compared(e.op, x, y), "bool")
 
+    def compare_time(self, e: Binary) -> Column | None:
+        """A typed time beside the text of a date or second, compared as a time so that it reaches the scan; None for other operands.
+
+        It agrees with the order of texts: a date alone comes before all times of its day, and a
+        fraction of a second, as `.` comes before `Z`, before its whole second.
+        """
+        flipped = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "==", "!=": "!="}
+        for one, other, op in ((e.left, e.right, e.op), (e.right, e.left, flipped[e.op])):
+            v = self.get(one.name, one.span) if isinstance(one, Name) and not one.sigil else None
+            text = other.value if isinstance(other, Lit) else self.context_value(other) if isinstance(other, Name) and other.sigil else None
+            if v is None or v.cls != "time" or not v.kind or not isinstance(text, str):
+                continue
+            m = re.fullmatch(r"(\d{4}-\d{2}-\d{2})(?:T(\d{2}:\d{2}:\d{2})Z)?", text, re.ASCII)
+            try:
+                at = datetime.datetime.fromisoformat(f"{m[1]} {m[2] or '00:00:00'}") if m else None
+                after = at + datetime.timedelta(seconds=1) if at else None
+            except (ValueError, OverflowError):
+                at = None
+            if at is None or at.year == 0:
+                continue
+            if v.kind == "date":
+                if m[2]:
+                    continue
+                return _compared(op, v.col, F.lit(at.date()))
+            kind = "TIMESTAMP_NTZ" if v.kind == "timestamp_ntz" else "TIMESTAMP"
+            first, second = (F.expr(f"{kind}'{t:%Y-%m-%d %H:%M:%S}'".replace(f"{t:%Y}", f"{t.year:04d}", 1)) for t in (at, after))
+            if not m[2]:
+                if op in ("==", "!="):
+                    return F.when(v.col.isNotNull(), op == "!=")
+                return v.col >= first if op in (">", ">=") else v.col < first
+            return {
+                "==": v.col == first, "!=": v.col != first, "<": (v.col < second) & (v.col != first), "<=": v.col < second,
+                ">": v.col >= second, ">=": (v.col >= second) | (v.col == first),
+            }[op]
+        return None
+
     def compare_mixed(self, op: str, a: Value, b: Value) -> Column:
         is_num = lambda v: v.col["t"] == 2 if v.cls == "mixed" else F.lit(v.cls == "num")
         is_str = lambda v: v.col["t"] == 3 if v.cls == "mixed" else F.lit(v.cls == "str")
@@ -152,6 +193,10 @@ class Scope:
 
     # Functions
 
+    def moment(self, e) -> temporal.Moment:
+        v = self.lower(e)
+        return temporal.moment_of(v.col, v.kind) if v.cls == "time" and v.kind else temporal.moment(self.text(e))
+
     def text(self, e) -> Column:
         return render(self.scalar(e))
 
@@ -229,19 +274,19 @@ class Scope:
         return Value(F.when(cond, t).when(~cond, f), cls, integral)
 
     def fn_date(self, e):
-        return Value(temporal.date(self.text(e.args[0])), "str")
+        return Value(temporal.date(self.moment(e.args[0])), "str")
 
     def fn_datetime(self, e):
-        return Value(temporal.datetime(self.text(e.args[0])), "str")
+        return Value(temporal.datetime(self.moment(e.args[0])), "str")
 
     def fn_year(self, e):
-        return Value(temporal.year(self.text(e.args[0])), "num")
+        return Value(temporal.year(self.moment(e.args[0])), "num")
 
     def fn_month(self, e):
-        return Value(temporal.month(self.text(e.args[0])), "num")
+        return Value(temporal.month(self.moment(e.args[0])), "num")
 
     def fn_day(self, e):
-        return Value(temporal.day(self.text(e.args[0])), "num")
+        return Value(temporal.day(self.moment(e.args[0])), "num")
 
     def fixed_text(self, e) -> str | None:
         """The value of a literal or context argument, None for one that depends on the row."""
@@ -251,22 +296,22 @@ class Scope:
         return v
 
     def fn_date_floor(self, e):
-        text, unit = self.text(e.args[0]), self.fixed_text(e.args[1])
+        m, unit = self.moment(e.args[0]), self.fixed_text(e.args[1])
         if unit is not None:
             if unit not in temporal.UNITS:
                 fail("E1406", f"unknown unit `{unit}`", e.span)
-            return Value(temporal.date_floor(text, unit), "str")
+            return Value(temporal.date_floor(m, unit), "str")
         u = self.scalar(e.args[1])
         if u.cls not in ("str", "null"):
             fail("E1403", "expected a string", e.span)
         out = F.when(F.lit(False), F.lit(None).cast("string"))
         for name in temporal.UNITS:
-            out = out.when(u.col == name, temporal.date_floor(text, name))
+            out = out.when(u.col == name, temporal.date_floor(m, name))
         wrong = F.raise_error(F.concat(F.lit("E1406: unknown unit "), u.col)).cast("string")
         return Value(out.when(u.col.isNotNull(), wrong), "str")
 
     def fn_date_format(self, e):
-        text, pattern = self.text(e.args[0]), self.fixed_text(e.args[1])
+        m, pattern = self.moment(e.args[0]), self.fixed_text(e.args[1])
         if pattern is None:
             if isinstance(e.args[1], Lit):
                 return null()
@@ -274,7 +319,7 @@ class Scope:
         pieces = temporal.split_pattern(pattern)
         if pieces is None:
             fail("E1406", f"unsupported pattern `{pattern}`", e.span)
-        return Value(temporal.date_format(text, pieces), "str")
+        return Value(temporal.date_format(m, pieces), "str")
 
     def fn_col(self, e):
         arg = e.args[0]
@@ -296,7 +341,7 @@ class Scope:
 
 
 def _whole(tree, v: Value, other: Value) -> Value:
-    fits = isinstance(tree, Lit) and other.integral and tree.value == int(tree.value) and abs(tree.value) < 2**53
+    fits = isinstance(tree, Lit) and other.integral and math.isfinite(tree.value) and tree.value == int(tree.value) and abs(tree.value) < 2**53
     return Value(F.lit(int(tree.value)).cast("bigint"), "num", True) if fits else v
 
 
@@ -323,5 +368,7 @@ def aggregate(call: Call, scope: Scope) -> Value:
     if call.name in ("sum", "mean"):
         f = F.sum if call.name == "sum" else F.avg
         return Value(f(number(v)), "num")
+    if v.cls == "mixed":
+        return Value((F.min_by if call.name == "min" else F.max_by)(v.col, order_key(v)), v.cls)
     f = F.min if call.name == "min" else F.max
     return Value(f(v.col), v.cls, v.integral)

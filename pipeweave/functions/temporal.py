@@ -39,6 +39,16 @@ def moment(text: Column) -> Moment:
     return Moment(day, *(F.when(on, c) for c in (part(4), part(5), part(6), offset)))
 
 
+def moment_of(col: Column, kind: str) -> Moment:
+    """That of a typed date or timestamp, which stands for its text: no text is made or taken apart."""
+    fine = F.year(col).between(0, 9999)
+    day = F.when(fine, col if kind == "date" else F.to_date(col))
+    none = F.lit(None).cast("string")
+    if kind == "date":
+        return Moment(day, none, none, none, none)
+    return Moment(day, *(F.when(fine, F.date_format(col, p)) for p in ("HH", "mm", "ss")), F.when(fine, F.lit("+00:00")))
+
+
 def _offset_fine(offset: Column) -> Column:
     return (F.lower(offset) == "z") | ((F.substring(offset, 2, 2) <= "23") & (F.substring(offset, 5, 2) <= "59"))
 
@@ -52,30 +62,28 @@ def _with_clock(m: Moment, day: Column, clock: Column) -> Column:
     return F.concat(_day_text(day), F.lit("T"), clock, zone)
 
 
-def date(text: Column) -> Column:
-    return _day_text(moment(text).day)
+def date(m: Moment) -> Column:
+    return _day_text(m.day)
 
 
-def datetime(text: Column) -> Column:
-    m = moment(text)
+def datetime(m: Moment) -> Column:
     return _with_clock(m, m.day, F.concat_ws(":", m.hour, m.minute, m.second))
 
 
-def year(text: Column) -> Column:
-    return F.year(moment(text).day).cast("double")
+def year(m: Moment) -> Column:
+    return F.year(m.day).cast("double")
 
 
-def month(text: Column) -> Column:
-    return F.month(moment(text).day).cast("double")
+def month(m: Moment) -> Column:
+    return F.month(m.day).cast("double")
 
 
-def day(text: Column) -> Column:
-    return F.dayofmonth(moment(text).day).cast("double")
+def day(m: Moment) -> Column:
+    return F.dayofmonth(m.day).cast("double")
 
 
-def date_floor(text: Column, unit: str) -> Column:
+def date_floor(m: Moment, unit: str) -> Column:
     """The start of the day, ISO week, month or year; a full datetime keeps its offset."""
-    m = moment(text)
     floor = m.day if unit == "day" else F.trunc(m.day, unit)
     return F.when(m.offset.isNotNull(), _with_clock(m, floor, F.lit("00:00:00"))).otherwise(_day_text(floor))
 
@@ -98,9 +106,8 @@ def split_pattern(pattern: str) -> list[str] | None:
     return out
 
 
-def date_format(text: Column, pieces: list[str]) -> Column:
+def date_format(m: Moment, pieces: list[str]) -> Column:
     """A date alone counts as midnight, and has no offset to print."""
-    m = moment(text)
     clock = lambda c: F.coalesce(c, F.lit("00"))
     iso_year = F.lpad(F.extract(F.lit("YEAROFWEEK"), m.day).cast("string"), 4, "0")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")

@@ -23,6 +23,7 @@ class Value:
     col: Column
     cls: str
     integral: bool = False  # a num that Spark holds as a whole number
+    kind: str = ""  # of class time: the Spark type a typed source gave it, empty if not known
 
 
 def null() -> Value:
@@ -111,6 +112,14 @@ def as_text(v: Value) -> Value:
     return Value(time_text(v), "str") if v.cls == "time" else v
 
 
+def order_key(v: Value) -> Column:
+    """What values are ordered by: cells of mixed columns by value, numbers and text that is a number first, others by text."""
+    if v.cls != "mixed":
+        return v.col
+    n = F.when(v.col["t"] == 2, v.col["n"]).when(v.col["t"] == 3, parse_number(v.col["s"]))
+    return F.when(v.col.isNotNull(), F.struct(n.isNull().alias("t"), n.alias("n"), F.when(n.isNull(), render(v)).alias("s")))
+
+
 def number(v: Value) -> Column:
     """Values of class num as doubles, null for other classes."""
     if v.cls == "num":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 
 from ..functions.scalar import Scope
-from ..functions.values import as_text
+from ..functions.values import Value, as_text, order_key
 from ..lang.ast import SortItem
 from ..lang.diagnostics import fail
 
@@ -19,7 +19,7 @@ def sort_value(scope: Scope, item: SortItem):
     v = as_text(scope.get(scope.column(item.column), item.column.span))
     if v.cls == "geom":
         fail("E1234", "a geometry has no order", item.column.span)
-    return v
+    return Value(order_key(v), v.cls, v.integral)
 
 
 def sort_key(scope: Scope, item: SortItem) -> Column:

@@ -331,13 +331,20 @@ def _ascending(o: Order, rel: Rel):
     if not o.desc:
         return F.struct((c.isNull() if not o.nulls_first else c.isNotNull()).alias("n"), c.alias("v")).alias(o.phys)
     null = c.isNull() if not o.nulls_first else c.isNotNull()
-    if kind in ("double", "float", "bigint", "int", "smallint", "tinyint"):
+    if kind.startswith("struct<"):  # of a mixed column
+        down = F.struct((~c["t"]).alias("t"), (-c["n"]).alias("n"), _downwards(c["s"]).alias("s"))
+        return F.struct(null.alias("n"), F.when(c.isNotNull(), down).alias("v")).alias(o.phys)
+    if kind in ("double", "float", "bigint", "int", "smallint", "tinyint") or kind.startswith("decimal"):
         return F.struct(null.alias("n"), (-c).alias("v")).alias(o.phys)
     if kind == "boolean":
         return F.struct(null.alias("n"), (~c).alias("v")).alias(o.phys)
-    # Text downwards: by the complements of its code points, the longer first where one begins the other.
-    points = F.transform(F.split(c, ""), lambda x: -F.ascii(x))
-    return F.struct(null.alias("n"), F.array_append(points, F.lit(1)).alias("v")).alias(o.phys)
+    return F.struct(null.alias("n"), _downwards(c).alias("v")).alias(o.phys)
+
+
+def _downwards(text):
+    """Orders texts downwards: the complements of code points, the longer first where one begins the other."""
+    points = F.transform(F.split(text, ""), lambda x: -F.ascii(x))
+    return F.array_append(points, F.lit(1))
 
 
 STAGES = {

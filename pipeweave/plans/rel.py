@@ -29,10 +29,11 @@ class Col:
     phys: str
     cls: str
     integral: bool = False
+    kind: str = ""
 
     @property
     def value(self) -> Value:
-        return Value(F.col(self.phys), self.cls, self.integral)
+        return Value(F.col(self.phys), self.cls, self.integral, self.kind)
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,7 @@ class Rel:
 
     def with_cols(self, cols: list[tuple[str, Value]], groups: tuple[str, ...] = ()) -> Rel:
         """Columns computed from this relation's; the hidden order columns go along."""
-        made = [Col(n, fresh(), v.cls, v.integral) for n, v in cols]
+        made = [Col(n, fresh(), v.cls, v.integral, v.kind) for n, v in cols]
         df = self.df.select(*[v.col.alias(c.phys) for c, (_, v) in zip(made, cols)], *[o.phys for o in self.order])
         return Rel(df, tuple(made), self.order, groups)
 

@@ -5,11 +5,14 @@ Each entry is a program and its SQL. Programs run over whole tables.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import frame
+from .session import frame, run
 
 _T = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ')"
 
@@ -331,12 +334,53 @@ def _with(name: str, output: str, context: dict) -> Callable[[SparkSession, str]
     return query
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _program(name) for name in PROGRAMS} | {
+_SAVED = (
+    'param quote = "" param line = "" load "orders.parquet" '
+    '| mutate flag = o_totalprice > 100000, note = if_else(o_orderkey % 3 == 0, null, concat("a ", $quote, o_orderstatus, $quote, ",", $line, o_orderpriority))'
+)
+_SAVED_SQL = (
+    "SELECT o_orderkey::DOUBLE AS o_orderkey, o_custkey::DOUBLE AS o_custkey, o_orderstatus, o_totalprice::DOUBLE AS o_totalprice, "
+    "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS o_orderdate, o_orderpriority, o_totalprice > 100000 AS flag, "
+    "CASE WHEN o_orderkey % 3 <> 0 THEN 'a \"' || o_orderstatus || '\",' || chr(10) || o_orderpriority END AS note FROM orders"
+)
+_ENDINGS = {"csv": "csv", "jsonl": "jsonl", "parquet": "parquet", "arrow_file": "arrow", "arrow_stream": "arrows"}
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that the driver can write files in: in the shared folder, or a temporary one where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    base = shared.removeprefix("file://").rstrip("/") if shared.startswith(("/", "file:///")) else tempfile.mkdtemp(prefix="pipeweave-")
+    folder = f"{base}/saved-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return folder
+
+
+def _saved(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Orders, with quotes and line ends in cells, saved to a file of a format by its writer and loaded by its reader."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{_scratch(spark)}/orders.{_ENDINGS[kind]}"
+        clause = f' format "{kind.replace("_", "-")}"'
+        run(spark, f'{_SAVED} | save "{path}"{clause}', folder=sf_dir, context={"quote": '"', "line": "\n"})
+        return frame(spark, f'load "{path}"{clause}', sf_dir)
+
+    query.__name__ = f"save_load_{kind}"
+    return query
+
+
+_DATES = {
+    "filter_date_pushed": ('o_orderdate >= "1995-01-01" and o_orderdate < "1996-03-01"', "o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-03-01'"),
+    "filter_second_pushed": ('"1995-06-17T00:00:00Z" <= o_orderdate', "o_orderdate >= TIMESTAMP '1995-06-17'"),
+}
+for _name, (_f, _sql) in _DATES.items():
+    PROGRAMS[_name] = (f'load "orders.parquet" | filter {_f} | select o_orderkey, o_totalprice', f"SELECT o_orderkey, o_totalprice FROM orders WHERE {_sql}")
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _program(name) for name in PROGRAMS} | {f"save_load_{k}": _saved(k) for k in _ENDINGS} | {
     "named_outputs": _with("named_outputs", "by_priority", {}),
     "param_override": _with("param_override", "totals", {"status": "F"}),
     "state_filter": _with("state_filter", "totals", {"floor": 150000}),
 }
-ORACLES: dict[str, str] = {name: sql for name, (_, sql) in PROGRAMS.items()} | {
+ORACLES: dict[str, str] = {name: sql for name, (_, sql) in PROGRAMS.items()} | {f"save_load_{k}": _SAVED_SQL for k in _ENDINGS} | {
     "named_outputs": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 1000 GROUP BY 1",
     "param_override": "SELECT count(*) AS n, max(o_totalprice) AS top FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000",
     "state_filter": "SELECT count(*) AS n, max(o_totalprice) AS top FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 150000",

@@ -138,6 +138,8 @@ class Engine:
     def pipeline(self, pipe: Pipeline) -> Rel:
         rel = self.load(pipe.start) if isinstance(pipe.start, Stage) else self.binding(pipe.start, pipe.span)
         for i, s in enumerate(pipe.stages):
+            if s.kind == "save" and i + 1 < len(pipe.stages) and not self.dry_run:
+                rel = replace(rel, df=rel.df.persist())  # what follows a sink doesn't run the plan before it again
             try:
                 rel = self.stage(rel, s)
             except ProgramError as e:

@@ -118,8 +118,8 @@ def read_csv(spark: SparkSession, path: str) -> Rel:
         fail("E1804", "a CSV source needs a header")
     if len(set(header)) < len(header):
         fail("E1008", "a column name occurs twice in the header")
-    # Quoted line ends can't be split on, so only files without any are read in splits.
-    options["multiLine"] = _has_quotes(path)
+    # Quoted line ends can't be split on, so only tables without any are read in splits.
+    options["multiLine"] = _quotes_line_ends(spark, path)
     phys = [fresh() for _ in header]
     schema = ", ".join(f"{p} string" for p in phys)
     raw = spark.read.schema(schema).options(header=True, nullValue="", emptyValue="", **options).csv(path)
@@ -147,8 +147,10 @@ def header_of(path: str) -> list[str] | None:
         return next(csv.reader(head), None)
 
 
-def _has_quotes(path: str, sample: int = 1 << 20) -> bool:
-    return b'"' in head_of(path, sample)
+def _quotes_line_ends(spark: SparkSession, path: str) -> bool:
+    """Whether a cell goes on in the next line: the line it begins in then has an odd number of quotes. Reads all lines, in splits."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
 
 
 def classify(rel: Rel) -> Rel:
@@ -202,6 +204,8 @@ def read_json_lines(spark: SparkSession, path: str) -> Rel:
 
 
 def from_json_lines(lines: DataFrame) -> Rel:
+    # The last of a line's equal keys holds.
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     order = [c for c in lines.columns if c != "value"]
     rows = lines.where(~F.col("value").rlike(r"^\s*$"))
     parsed = rows.withColumn("v", F.try_parse_json("value")).withColumn("keys", F.json_object_keys("value"))
@@ -259,7 +263,7 @@ def typed(df: DataFrame, order: list) -> Rel:
         cls, integral = class_of(f.dataType)
         if (f.metadata or {}).get("pipeweave.class") == "geometry":
             cls = "geom"
-        cols.append(Col(f.name, fresh(), cls, integral))
+        cols.append(Col(f.name, fresh(), cls, integral, f.dataType.simpleString() if cls == "time" else ""))
     keys = [fresh("o") for _ in order]
     # By position, as names that differ in case only can't be told apart by name.
     hidden = [o.alias(k) for o, k in zip(order, keys)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,9 +124,33 @@ def save(rel: Rel, path: str, kind: str, span: Span = Span(), folder: bool = Fal
     where = os.path.dirname(os.path.abspath(path))
     if not os.path.isdir(where):
         fail("E1701", f"no folder `{where}`", span)
-    if kind in _TEXT:
-        with open(path, "w", encoding="utf-8", newline="") as f:
-            _TEXT[kind](rel, f)
+    if kind not in _TEXT:
+        _append_parts(typed(rel), path, kind)
         return
-    with open(path, "wb") as f:
-        f.write(to_bytes(rel, kind, span))
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        _TEXT[kind](rel, f)
+
+
+def _append_parts(df: DataFrame, path: str, kind: str) -> None:
+    """One binary file from parts that executors write in order; the driver holds a batch of rows at a time."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = f"{(shared or f'file://{os.path.dirname(os.path.abspath(path))}').rstrip('/')}/.parts-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    store, at = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    try:
+        parts = sorted(f.path for f in store.get_file_info(fs.FileSelector(at)) if f.base_name.startswith("part-"))
+        schema = pq.read_schema(store.open_input_file(parts[0]))
+        schema = pa.schema([pa.field(f.name, f.type) for f in schema])  # without the writer's own notes
+        with open(path, "wb") as f:
+            new = {"parquet": pq.ParquetWriter, "arrow-file": pa.ipc.new_file}.get(kind, pa.ipc.new_stream)
+            with new(f, schema) as w:
+                for part in parts:
+                    with store.open_input_file(part) as g:
+                        for b in pq.ParquetFile(g).iter_batches():
+                            w.write_batch(pa.RecordBatch.from_arrays(b.columns, schema=schema))
+    finally:
+        store.delete_dir(at)

@@ -164,3 +164,62 @@ def test_pushdown(spark, files):
     pq.write_table(pa.table({"a": [1, 2, 3], "b": [1, 2, 3], "c": [1, 2, 3]}), files / "p.parquet")
     plan = Engine(spark, 'load "p.parquet" | filter a > 1 | select b', folder=str(files)).explain()["main"]["spark"]
     assert "ReadSchema: struct<a:bigint,b:bigint" in plan and "c:bigint" not in plan.split("ReadSchema")[-1] and "PushedFilters: [IsNotNull(a), GreaterThan(a,1)]" in plan
+
+
+def test_quoted_line_ends_anywhere(spark, tmp_path):
+    rows = "".join(f"{i},{'y' * 60}\n" for i in range(40_000))  # over two MB before the first quote
+    (tmp_path / "late.csv").write_text("a,b\n" + rows + '7,"p\nq"\n8,z\n')
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "folder" / "1.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "folder" / "2.csv").write_text('a,b\n2,"p\nq"\n3,"say ""hi"""\n')
+    assert text(spark, tmp_path, 'load "late.csv" | filter a == 7 | filter b == null or starts_with(b, "p")') == 'a,b\n7,"p\nq"\n'
+    assert text(spark, tmp_path, 'load "late.csv" | agg n = count()') == "n\n40002\n"
+    assert text(spark, tmp_path, 'load "folder" format "csv" | sort a') == 'a,b\n1,x\n2,"p\nq"\n3,"say ""hi"""\n'
+
+
+def test_last_of_equal_keys_holds(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a":1,"b":2,"a":3}\n{"b":4}\n')
+    assert text(spark, tmp_path, 'load "x.jsonl"') == "a,b\n3,2\n,4\n"
+
+
+def test_mixed_columns_sort_by_value(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("k,v\n1,10\n2,9\n3,zz\n4,true\n5,\n")
+    assert text(spark, tmp_path, 'load "m.csv" | sort v | select v') == "v\n9\n10\ntrue\nzz\n\"\"\n"
+    assert text(spark, tmp_path, 'load "m.csv" | agg lo = min(v), hi = max(v)') == "lo,hi\n9,zz\n"
+    assert text(spark, tmp_path, 'load "m.csv" | sort v desc nulls_first | complete k | select k') == "k\n3\n4\n1\n2\n5\n"
+
+
+def test_decimals_order_complete_and_huge_numbers_compare(spark, tmp_path):
+    import decimal
+
+    pq.write_table(pa.table({"k": [1, 2, 3], "x": pa.array([decimal.Decimal(v) for v in ("9.50", "10.25", "-3.00")])}), tmp_path / "d.parquet")
+    assert text(spark, tmp_path, 'load "d.parquet" | sort x desc | complete k | select x') == "x\n10.25\n9.5\n-3\n"
+    assert text(spark, tmp_path, 'load "d.parquet" | filter k < 1e400 | agg n = count()') == "n\n3\n"
+
+
+def test_dates_reach_the_scan(spark, tmp_path):
+    import datetime
+
+    at = [datetime.datetime(1995, 1, 1), datetime.datetime(1995, 1, 1, 12, 0, 0, 500_000), datetime.datetime(1995, 1, 2), None]
+    pq.write_table(pa.table({"k": [1, 2, 3, 4], "t": pa.array(at, pa.timestamp("us")), "d": pa.array([a and a.date() for a in at])}), tmp_path / "t.parquet")
+    engine = Engine(spark, 'load "t.parquet" | filter t >= "1995-01-02"', folder=str(tmp_path)).run()
+    assert "GreaterThanOrEqual" in engine.table.frame()._jdf.queryExecution().toString().split("PushedFilters")[1]
+    # What the text of a time gives, whatever way it is compared.
+    for column in ("t", "d"):
+        for value in ("1995-01-01", "1995-01-02", "1995-01-01T00:00:00Z", "1995-01-01T12:00:00Z", "1995-01-01T12:00:01Z", "1995-02-30", "1995"):
+            for op in ("<", "<=", ">", ">=", "==", "!="):
+                program = 'load "t.parquet" | filter {} %s "%s" | sort k | select k' % (op, value)
+                assert text(spark, tmp_path, program.format(column)) == text(spark, tmp_path, program.format(f"to_string({column})")), (column, op, value)
+    parts = "y = year({0}), m = month({0}), q = day({0}), e = date({0}), f = datetime({0}), g = date_floor({0}, \"week\"), h = date_format({0}, \"%Y/%j %H:%M:%S %z\")"
+    for column in ("t", "d"):
+        program = 'load "t.parquet" | mutate %s | select k, y, m, q, e, f, g, h'
+        assert text(spark, tmp_path, program % parts.format(column)) == text(spark, tmp_path, program % parts.format(f"to_string({column})"))
+
+
+def test_save_in_mid_pipeline(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n2,x\n1,y\n")
+    for kind, ending in (("parquet", "parquet"), ("arrow-file", "arrow"), ("csv", "csv")):
+        out = tmp_path / f"out.{ending}"
+        assert text(spark, tmp_path, f'load "a.csv" | sort k | save "{out}" | agg n = count()') == "n\n2\n"
+        assert text(spark, tmp_path, f'load "{out}"') == "k,v\n1,y\n2,x\n"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.csv", "out.arrow", "out.csv", "out.parquet"]
