@@ -79,9 +79,19 @@ def _give_back() -> None:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/t"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = shared_dir(df.sparkSession)
+    df.write.parquet(f"{folder}/t")
+    out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/t")
+    out.written_to = folder
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialize wrote for these frames; all that reads them must have been written."""
+    for df in frames:
+        if folder := getattr(df, "written_to", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize_texts(df: DataFrame) -> DataFrame:
@@ -132,6 +142,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    before = labels
     for _ in range(max_rounds):
         near = (
             both.join(labels, F.col("b") == F.col("id"))
@@ -146,7 +157,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
                 "id", "old", F.least("comp", F.coalesce("top", "comp")).alias("comp")
             )
         )
-        labels = jumped.select("id", "comp")
+        discard(before)
+        before, labels = jumped, jumped.select("id", "comp")
         if jumped.where("comp <> old").isEmpty():
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

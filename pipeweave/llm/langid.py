@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, map_rows, materialize, materialize_texts
+from .common import lean, map_rows, materialize
 from .textkit import U64, mix
 
 ORDER = 4
 DISCOUNT = 0.75
-MAX_LANGS = 1024
 CALIBRATION_ROWS = 20_000
 MERGE_ROWS = 1 << 16  # counted n-grams a language that a task holds before it merges equal ones
 QUANTILE, SLACK = 0.999, 1.5
@@ -243,8 +242,6 @@ def fit(training: DataFrame, calibration: DataFrame | None = None) -> Model:
     counts = count(training).groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"))
     got = counts.orderBy("lang", "hi", "lo").toPandas()
     langs = sorted(got["lang"].unique(), key=lambda s: s.encode())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGS}")
     counted = {}
     for lang, g in got.groupby("lang"):
         hi, lo = g["hi"].to_numpy(), g["lo"].to_numpy()
@@ -255,7 +252,7 @@ def fit(training: DataFrame, calibration: DataFrame | None = None) -> Model:
         scored = _scored(known.where(sampled), model, "lang").where("lang = lang_pred and n_scored > 0")
         z = materialize(scored.select("lang", "entropy", "n_scored"))
         stats = z.groupBy("lang").agg(F.avg("entropy").alias("mean"))
-        joined = z.join(F.broadcast(stats), "lang")  # a row for each of at most MAX_LANGS languages
+        joined = z.join(stats, "lang")
         dev = (F.col("entropy") - F.col("mean")) * F.sqrt(F.col("n_scored") / (1 + F.col("n_scored") / STEADY))
         fitted = joined.groupBy("lang").agg(
             F.first("mean").alias("mean"), F.sqrt(F.avg(dev * dev)).alias("sd"), F.percentile_approx(dev, QUANTILE, 10_000).alias("top"), F.max(dev).alias("most")
@@ -311,4 +308,4 @@ def accepted(docs: DataFrame) -> DataFrame:
             for lo, texts in _batches(b.column(at)):
                 yield b.slice(lo, len(texts)).filter(pa.array(~model.value.predict(texts)[3]))
 
-    return materialize_texts(map_rows(docs, run, docs.schema.fields))
+    return map_rows(docs, run, docs.schema.fields)

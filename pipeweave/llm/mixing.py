@@ -174,7 +174,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int =
                     heads = [_head(t, int(p[i])) for t, i in zip(cut.column(at).to_pylist(), some)]
                     yield cut.set_column(at, b.schema.field(at), pa.array(heads, b.schema.field(at).type))
 
-    return materialize_texts(map_rows(x, run, docs.schema.fields))
+    return map_rows(x, run, docs.schema.fields)
 
 
 def _head(text: str, n: int) -> str:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, free_name, lean, materialize, materialize_texts, own, quoted
+from .common import connected_components, discard, free_name, lean, materialize, materialize_texts, own, quoted
 from .textkit import U64, chunks, lowered, mix, short_hash, span_hashes, window_hashes, window_rows, words
 
 SHINGLE = 5
@@ -333,7 +333,9 @@ def _more_links(placed: DataFrame, sketches: DataFrame, sets: DataFrame, percent
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     ready = _together(x.select(*block, "p", "q", "doc_id", "comp", "side", "part", "sketch", "members"), *block, "p", "q")
-    return materialize_texts(ready.mapInArrow(lean(search), "a long, b long")).distinct()
+    links = materialize_texts(ready.mapInArrow(lean(search), "a long, b long"))
+    discard(some)
+    return links
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -352,7 +354,8 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sketches = materialize(reps.join(busy, "doc_id", "left_semi").select("doc_id", "fp_a", "n_shingles", "bands", "sketch"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     some = full_sets(texts.join(sketches.select("doc_id"), "doc_id", "left_semi"))
-    sets = materialize_texts(some.join(sketches.select("doc_id", "fp_a"), ["doc_id", "fp_a"], "left_semi")).dropDuplicates(["doc_id"])
+    held = materialize_texts(some.join(sketches.select("doc_id", "fp_a"), ["doc_id", "fp_a"], "left_semi"))
+    sets = held.dropDuplicates(["doc_id"])
     apart = F.expr("aggregate(zip_with(s_a, s_b, (x, y) -> bit_count(x ^ y)), 0, (t, c) -> t + c)")
     pairs = buckets.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     best = (
@@ -374,7 +377,9 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     out = signed.join(materialize(named_class), (F.col("fp_a") == F.col("x")) & (F.col("fp_b") == F.col("y")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    result = materialize(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
+    discard(signed, classes, reps, hubs, buckets, sketches, held, links, placed, more)
+    return result
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
