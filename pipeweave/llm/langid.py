@@ -10,11 +10,14 @@ language show, for its length, is rejected.
 
 The counts cover all training rows and the model keeps every n-gram, so it grows with the distinct
 n-grams of the languages: the driver builds it and every executor holds it. Calibration uses at
-most about CALIBRATION_ROWS rows, chosen by hash.
+most about CALIBRATION_ROWS rows, chosen by hash; a language with fewer than MIN_CALIBRATION of
+them has no limit, as so few don't show how its texts vary. The tables of probabilities have a
+column for each language, so they grow with n-grams times languages.
 
 Edge cases: a null text, and one without a letter, is `und` with score 0 and rejected; with no
 labelled row every text is `und`; rows with a null lang or text teach nothing; ties go to the
-first language in code point order; repeated rows are scored alike. Extra columns are ignored.
+first language in code point order; repeated rows are scored alike; an empty table gives no rows.
+A very long text is scored whole. Other columns may have any names; `accepted` returns them all.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from .textkit import U64, mix
 
 ORDER = 4
 DISCOUNT = 0.75
-CALIBRATION_ROWS = 20_000
+CALIBRATION_ROWS, MIN_CALIBRATION = 20_000, 30
 MERGE_ROWS = 1 << 16  # counted n-grams a language that a task holds before it merges equal ones
 QUANTILE, SLACK = 0.999, 1.5
 STEADY = 400  # characters beyond which cross-entropy varies with the text and no more with its length
@@ -255,9 +258,11 @@ def fit(training: DataFrame, calibration: DataFrame | None = None) -> Model:
         joined = z.join(stats, "lang")
         dev = (F.col("entropy") - F.col("mean")) * F.sqrt(F.col("n_scored") / (1 + F.col("n_scored") / STEADY))
         fitted = joined.groupBy("lang").agg(
-            F.first("mean").alias("mean"), F.sqrt(F.avg(dev * dev)).alias("sd"), F.percentile_approx(dev, QUANTILE, 10_000).alias("top"), F.max(dev).alias("most")
+            F.first("mean").alias("mean"), F.sqrt(F.avg(dev * dev)).alias("sd"), F.percentile_approx(dev, QUANTILE, 10_000).alias("top"), F.max(dev).alias("most"), F.count(F.lit(1)).alias("n")
         ).collect()
         for r in fitted:
+            if r["n"] < MIN_CALIBRATION:
+                continue
             sd = max(r["sd"], 1e-6)
             model.limits[langs.index(r["lang"])] = (r["mean"], sd, max(SLACK * r["top"] / sd, SLACK * 4.0, r["most"] / sd))
     return model

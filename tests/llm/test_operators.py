@@ -302,14 +302,15 @@ def test_language_counts_do_not_depend_on_merging(spark, monkeypatch):
     assert counted() == whole and len(whole) > 10
 
 
-@pytest.mark.parametrize(("held", "then"), [("64m", 4 << 20), ("67108864b", 4 << 20), ("1MB", None), ("1000", None)])
+@pytest.mark.parametrize(("held", "then"), [("64m", 4 << 20), ("67108864b", 4 << 20), ("1MB", 1 << 20), ("1000", 1000)])
 def test_arrow_batches_are_bounded(spark, held, then):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
     try:
         spark.conf.set(key, held)
-        common.small_batches(spark)
-        assert spark.conf.get(key) == (str(then) if then else held)
+        with common.small_batches(spark):
+            assert spark.conf.get(key) == str(then)
+        assert spark.conf.get(key) == held
     finally:
         spark.conf.set(key, before)
 
@@ -373,3 +374,113 @@ def test_language_model_keeps_every_ngram(spark, monkeypatch):
     few = spark.createDataFrame([("aa", "abab abba")], "lang string, text string")
     more = spark.createDataFrame([("aa", f"qz{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(100)], "lang string, text string")
     assert len(langid.fit(few, more).probs[langid.ORDER - 1][0]) > len(langid.fit(few).probs[langid.ORDER - 1][0]) + 80
+
+
+def test_passages_beyond_the_first_holder(spark):
+    shared = prose(120, 700).split()
+    part = lambda a, b: " ".join(shared[a:b])
+    texts = [
+        f"{prose(40, 701)} {part(5, 50)} {prose(40, 702)} {part(70, 115)} {prose(40, 703)}", f"{prose(45, 704)} {' '.join(shared)} {prose(45, 705)}",
+        f"{prose(35, 706)} {' '.join(shared)} {prose(35, 707)}",
+    ]
+    got = [r for r in substring.passages(table(spark, texts)).collect() if r["doc_id"] == 2]
+    covered = {i for r in got for i in range(r["start"], r["start"] + r["n_words"])}
+    assert covered >= set(range(35, 155)) and len(covered) <= 125
+
+
+def test_every_exact_passage_is_covered_by_brute_force(spark):
+    r = random.Random(9)
+    pool = [prose(r.randint(20, 90), 800 + i).split() for i in range(12)]
+    texts = []
+    for i in range(40):  # parts of shared pieces, one after another, some of them repeated in one text
+        words = []
+        for _ in range(r.randint(1, 5)):
+            p = r.choice(pool)
+            a = r.randint(0, len(p) // 3)
+            words += p[a : a + r.randint(15, 90)] * r.choice((1, 1, 1, 2)) + prose(r.randint(0, 30), r.random()).split()
+        texts.append(" ".join(words))
+    texts += ["x y " * 200, "x y " * 100 + prose(40, 1), texts[3], texts[3]]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        windows = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        want[i] = {k + j for k, x in enumerate(windows) if x in seen for j in range(50)}
+        seen |= set(windows)
+    rows = substring.passages(table(spark, texts)).collect()
+    for i in range(len(texts)):
+        covered = {k for r in rows if r["doc_id"] == i for k in range(r["start"], r["start"] + r["n_words"])}
+        assert want[i] <= covered, (i, sorted(want[i] - covered)[:5])
+    assert len({(x["doc_id"], x["start"], x["n_words"], x["ref_doc_id"], x["ref_start"]) for x in rows}) == len(rows)
+    assert all(x["n_words"] <= len(texts[x["doc_id"]].split()) - x["start"] for x in rows)
+
+
+def test_gaps_are_aligned_whole():
+    r = random.Random(1)
+    for n in (0, 1, 30, 70, 300):
+        a = [r.randint(0, 5) for _ in range(n)]
+        b = [x for x in a if r.random() < 0.75]
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                keep = row[j + 1]
+                row[j + 1] = last + 1 if x == y else max(keep, row[j])
+                last = keep
+        assert substring._gap(a, b) == row[-1] == len(b)
+    assert substring.merged([(0, 60, 5, 60, 50), (0, 60, 5, 60, 50), (40, 60, 45, 60, 55), (300, 50, 0, 50, 50)]) == [(0, 100, 5, 100, 85), (300, 50, 0, 50, 50)]
+
+
+CLASHES = ("left", "target", "copies", "prefix", "tie", "source_size", "size", "taken", "state", "row", "h", "s", "of", "n", "lost", "start", "n_words", "rep", "salt", "fp_a", "comp", "key", "c0", "a.b", "x`y")
+
+
+def test_stages_keep_columns_of_any_name_and_defined_values(spark):
+    import corpus_pipeline
+
+    copy, long = prose(80, 1), "word " * 3000 + prose(2000, 2)
+    texts = [copy, copy.upper(), prose(70, 3), None, "", long, prose(90, 4), f"{prose(60, 5)} {copy}"]
+    docs = table(spark, texts, [0, 1, 2, 3, 4, 5, 6, 7])
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.lit(7))
+    docs = common.materialize(docs)
+    deduplicated = corpus_pipeline.near_duplicates(spark, docs, "")
+    rows = {r["doc_id"]: r for r in deduplicated.collect()}
+    assert deduplicated.columns == docs.columns and set(rows) == {0, 2, 3, 4, 5, 6, 7} and all(r[c] == 7 for r in rows.values() for c in CLASHES)
+    cut = corpus_pipeline.passages(spark, common.materialize(deduplicated), "")
+    rows = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert cut.columns == docs.columns and len(rows[7].split()) in range(58, 61) and all(rows[i] == texts[i] for i in (0, 2, 3, 4, 5, 6))
+    mixed = corpus_pipeline.mix(spark, docs, "")
+    assert mixed.columns == docs.columns and {r["a.b"] for r in mixed.collect()} == {7}
+    kept = corpus_pipeline.identify(spark, docs, "")
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {0, 1, 2, 5, 6, 7}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").collect() == []
+
+
+def test_readers_of_few_columns_get_all_rows(spark):
+    docs = table(spark, [prose(R.randint(1, 1500), i) for i in range(40)] + [None, prose(5, 1)])
+    for apply in (packing.pack, neardup.components, substring.passages, mixing.mix, hostrules.judge, sstable.write_and_read):
+        out = apply(docs)
+        n = len(out.collect())
+        assert out.count() == n == len(out.select("doc_id").collect()) == sum(r["count"] for r in out.groupBy("doc_id").count().collect()), apply
+
+
+def test_hot_bucket_of_many_components(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 500)
+    base = prose(60, 50).split()
+    texts = []
+    for i in range(60):  # edits of one text: some pairs link, many are just below
+        w = list(base)
+        for _ in range(R.randint(0, 2)):
+            w[R.randrange(60)] = f"changed{i}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(56)} for t in texts]
+    up = list(range(60))
+    find = lambda i: i if up[i] == i else find(up[i])
+    for i in range(60):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.components(table(spark, texts)).collect()}
+    assert [got[i] for i in range(60)] == [find(i) for i in range(60)]
