@@ -34,7 +34,7 @@ from .textkit import U64, mix
 
 ORDER = 4
 DISCOUNT = 0.75
-CALIBRATION_ROWS, MIN_CALIBRATION = 20_000, 30
+CALIBRATION_ROWS, MIN_CALIBRATION = 20_000, 5
 MERGE_ROWS = 1 << 16  # counted n-grams a language that a task holds before it merges equal ones
 QUANTILE, SLACK = 0.999, 1.5
 STEADY = 400  # characters beyond which cross-entropy varies with the text and no more with its length
