@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -141,6 +142,65 @@ def test_language_model_sums_to_one(spark):
         assert np.allclose(p[:4].sum(axis=0) + (langid.ALPHABET - 4) * p[4], 1, atol=1e-3)
 
 
+def test_language_model_against_plain_kneser_ney(spark):
+    rows = [("aa", "Abba cab, abacab!"), ("aa", "bad cab 7 dab"), ("bb", "the cat; that hat"), ("bb", "a cab"), ("cc", "žluťoučký kůň")]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+
+    def spelled(text):
+        return f"   {' '.join(''.join(c if c.isalpha() else ' ' for c in text.lower()).split())} "
+
+    def chance(lang):
+        counts = [Counter() for _ in range(4)]
+        for s in (spelled(t) for g, t in rows if g == lang):
+            counts[3].update(s[i : i + 4] for i in range(len(s) - 3))
+        for k in (2, 1, 0):
+            counts[k].update(w[1:] for w in counts[k + 1])
+
+        def p(w):
+            if not w:
+                return 1 / langid.ALPHABET
+            after = [n for x, n in counts[len(w) - 1].items() if x[:-1] == w[:-1]]
+            own, less = counts[len(w) - 1][w], langid.DISCOUNT
+            return (max(own - less, 0) + less * len(after) * p(w[1:])) / sum(after) if after else p(w[1:])
+
+        return p
+
+    texts = ["Abba", "a cat in a cab", "žába", "qqq xyz", "that dab", "THE 12 the"]
+    got, n = model.entropies(texts)
+    for i, t in enumerate(texts):
+        s = spelled(t)
+        assert n[i] == len(s) - 3
+        for j, lang in enumerate(model.langs):
+            p = chance(lang)
+            assert abs(got[i, j] + np.mean([np.log(p(s[k : k + 4])) for k in range(len(s) - 3)])) < 1e-4
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    copied = prose(70, 11)
+    texts = [copied] * 150 + [prose(60 + i % 40, 2000 + i) for i in range(60)] + [None, "", "12 34", f"{prose(60, 3000)} {copied}"]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Texts without letters go, one of the copies stays, and the passage stays in its first document only.
+    left = [0, *range(150, 210), 213]
+    plain = {i: texts[i] for i in left} | {213: prose(60, 3000)}
+    docs = table(spark, texts).where(F.col("doc_id").isin(left)).drop("text")
+    docs = docs.join(spark.createDataFrame(list(plain.items()), "doc_id long, text string"), "doc_id").select("doc_id", "text", "lang", "source", "n_chars")
+    enc, want = encoder(default_tokenizer()), Counter()
+    for r in mixing.mixed(docs).collect():
+        ids = enc.whole(r["text"].strip()) + np.array([2], "<u4").tobytes()
+        want[r["doc_id"], len(ids) // 4, zlib.crc32(ids)] += 1
+    assert max(n for _, n, _ in want) <= 1024  # one piece each
+    assert Counter((r["doc_id"], r["length"], r["ids_crc32"]) for r in got) == want
+    for s in {r["sequence_id"] for r in got}:
+        at = 0
+        for r in sorted((r for r in got if r["sequence_id"] == s), key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024
+
+
 def test_packing(spark):
     r = random.Random(2)
     texts = [prose(r.randint(1, 900), i) for i in range(80)]
