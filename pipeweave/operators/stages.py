@@ -65,14 +65,15 @@ def rename(rel: Rel, s: Stage, context: dict) -> Rel:
 
 
 def mutate(rel: Rel, s: Stage, context: dict) -> Rel:
-    scope = Scope(rel, context, Windows(rel, context))
+    windows = Windows(rel, context)
+    scope = Scope(rel, context, windows)
     made = {}
     for n, e in s.args["items"]:
         if n.name in made:
             fail("E1205", f"`{n.name}` is assigned twice", n.span)
         made[n.name] = scope.lower(e)
     cols = [(c.name, made.pop(c.name, c.value)) for c in rel.cols]
-    return rel.with_cols(cols + list(made.items()))
+    return replace(rel, df=windows.df).with_cols(cols + list(made.items()))
 
 
 def group_by(rel: Rel, s: Stage, context: dict) -> Rel:

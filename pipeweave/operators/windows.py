@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import Window as W
-from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalar import AGGREGATES, Scope, aggregate, arity
 from ..functions.values import Value, as_text, unify
 from ..lang.ast import Call, Lit, Window
 from ..lang.diagnostics import fail
-from ..plans.rel import Rel
+from ..plans.rel import Rel, fresh
 from .ordering import sort_key
 
 WINDOWED: dict[str, tuple[int, int]] = {
@@ -27,6 +27,7 @@ class Windows:
     def __init__(self, rel: Rel, context: dict):
         self.rel, self.context = rel, context
         self.scope = Scope(rel, context)
+        self.df = rel.df  # with the columns that row-dependent offsets add
 
     def __call__(self, e: Window) -> Value:
         arity(e.call, WINDOWED)
@@ -50,7 +51,7 @@ class Windows:
         if name == "row_number":
             return Value(F.row_number().over(full).cast("bigint"), "num", True)
         if name in ("lag", "lead"):
-            return self.offset(e.call, full)
+            return self.offset(e.call, parts, full)
         frame = self.frame(e, of, full)
         if name in ("first_value", "last_value"):
             v = self.scope.lower(e.call.args[0])
@@ -70,7 +71,7 @@ class Windows:
         }
         return full.rowsBetween(*bounds[kind])
 
-    def offset(self, call: Call, full: WindowSpec) -> Value:
+    def offset(self, call: Call, parts: list[Column], full: WindowSpec) -> Value:
         v = self.scope.lower(call.args[0])
         by = call.args[1] if len(call.args) > 1 else Lit(1.0)
         default = self.scope.lower(call.args[2]) if len(call.args) > 2 else None
@@ -87,9 +88,22 @@ class Windows:
             n = self.scope.num(by)
             wrong = F.raise_error(F.lit("E1206: an offset is a whole number from 0")).cast("double")
             n = F.when(n.isNull() | (n < 0) | (n != F.floor(n)), wrong).otherwise(n).cast("bigint")
-            whole = full.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-            at = F.row_number().over(full) + sign * n
-            got = F.when((at >= 1) & (at <= F.count(F.lit(1)).over(whole)), F.try_element_at(F.collect_list(boxed).over(whole), at.cast("int")))
+            got = self.row_at(parts, F.row_number().over(full), sign * n, boxed)
         missing = cols[1] if default is not None else F.lit(None).cast("void") if cls == "null" else None
         out = F.when(got.isNotNull(), got["v"])
         return Value(out.otherwise(missing) if default is not None else out, cls, integral)
+
+    def row_at(self, parts: list[Column], number: Column, step: Column, boxed: Column) -> Column:
+        """boxed of the row `step` rows on in its partition, null where there is none.
+
+        Rows meet by partition and number in a join, so the rows of a large partition are dealt out.
+        """
+        at, there, got = fresh("n"), fresh("n"), fresh("g")
+        mine, theirs = [fresh("p") for _ in parts], [fresh("p") for _ in parts]
+        left = self.df.select("*", *[p.alias(k) for p, k in zip(parts, mine)], (number + step).alias(at))
+        right = self.rel.df.select(*[p.alias(k) for p, k in zip(parts, theirs)], number.cast("bigint").alias(there), boxed.alias(got))
+        on = F.col(at) == F.col(there)
+        for a, b in zip(mine, theirs):
+            on = on & F.col(a).eqNullSafe(F.col(b))
+        self.df = left.join(right, on, "left").drop(*mine, *theirs, at, there)
+        return F.col(got)

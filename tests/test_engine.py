@@ -69,6 +69,14 @@ def test_windows(spark, files):
     assert got == "city,day,r,l,k\nRome,2,12.5,-1,2\nOslo,1,,-1,4\nRome,1,7.5,-1,1\nOslo,2,1,-1,3\n"
 
 
+def test_row_dependent_offsets(spark, files):
+    program = 'load "visits.csv" | filter n != null | mutate a = lag(n, day - 1, -1) over (partition_by city order_by day), b = lead(n, 2 - day, 0) over (order_by n) | select city, a, b'
+    assert text(spark, files, program) == "city,a,b\nRome,7.5,5\nRome,7.5,0\nOslo,-1,1\n,3,5\n"
+    assert "collect_list" not in Engine(spark, program, folder=str(files)).run().table.df._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="E1206"):
+        text(spark, files, 'load "visits.csv" | mutate a = lag(n, 0 - day) over (partition_by city order_by day)')
+
+
 def test_union_and_pivot(spark, files):
     assert text(spark, files, 'let c = load "cities.csv" load "visits.csv" | limit 1 | union c by_name true') == "city,day,n,land\nRome,2,5,\nRome,,,IT\nParis,,,FR\n"
     assert text(spark, files, 'load "visits.csv" | limit 1 | pivot_longer day, n names_to k values_to v') == "city,k,v\nRome,day,2\nRome,n,5\n"
