@@ -2,17 +2,17 @@
 
 Every labelled training text is counted in character n-grams of ORDER letters (lower-cased, each
 run of other characters one space). From the counts of the highest order follow the continuation
-counts of all lower ones, and from those the interpolated probabilities, kept for each order in a
-sorted array of n-gram hashes with a row of log probabilities, one for each language; a second
-sorted array has the back-off weights of contexts. A text gets the language of lowest mean
+counts of all lower ones, and from those the interpolated probabilities, kept for each language and
+order in a sorted array of n-gram hashes with their log probabilities; a second sorted array has
+the back-off weights of contexts. A text gets the language of lowest mean
 cross-entropy a character; one whose cross-entropy lies beyond what calibration texts of that
 language show, for its length, is rejected.
 
 The counts cover all training rows and the model keeps every n-gram, so it grows with the distinct
-n-grams of the languages: the driver builds it and every executor holds it. Calibration uses at
+n-grams of the languages, at some 20 bytes for each n-gram of a language: the driver builds it, a
+language at a time, and every executor holds it. Calibration uses at
 most about CALIBRATION_ROWS rows, chosen by hash; a language with fewer than MIN_CALIBRATION of
-them has no limit, as so few don't show how its texts vary. The tables of probabilities have a
-column for each language, so they grow with n-grams times languages.
+them has no limit, as so few don't show how its texts vary.
 
 Edge cases: a null text, and one without a letter, is `und` with score 0 and rejected; with no
 labelled row every text is `und`; rows with a null lang or text teach nothing; ties go to the
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, map_rows, materialize
+from .common import discard, lean, map_rows, materialize
 from .textkit import U64, mix
 
 ORDER = 4
@@ -142,65 +142,75 @@ def count(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(lean(run), "lang string, hi long, lo long, n long")
 
 
-class Model:
-    """probs[k]: (sorted hashes, log p by language) of n-grams of k+1 letters; weights[k]: those of contexts of k letters."""
-
-    def __init__(self, langs: list[str], counted: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = langs
-        self.limits = [(0.0, 1.0, np.inf)] * len(langs)
-        # Distinct windows of each height; the raw counts at the top, numbers of distinct left neighbours below.
-        levels: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER)]
-        for lang in langs:
-            w, n = counted[lang]
-            levels[ORDER - 1].append((w, n.astype(float)))
-            for k in range(ORDER - 2, -1, -1):
-                w, first, n = np.unique(w[1:], axis=1, return_index=True, return_counts=True)
-                levels[k].append((w, n.astype(float)))
-        self.probs, self.weights = [], []
-        base = np.full(len(langs), np.log(1 / ALPHABET))
-        for k in range(ORDER if langs else 0):
-            ctx_hash, gram_hash, ctx_rows, gram_rows = [], [], [], []
-            for i, (w, n) in enumerate(levels[k]):
-                c = ngram_hash(w[:-1]) if k else np.zeros(w.shape[1], U64)
-                u, at, kinds = np.unique(c, return_inverse=True, return_counts=True)
-                total = np.bincount(at, n, len(u))
-                ctx_hash.append(u)
-                ctx_rows.append(np.log(DISCOUNT * kinds / total))
-                gram_hash.append(ngram_hash(w))
-                gram_rows.append(np.log(np.maximum(n - DISCOUNT, 0) / total[at]))
-            ctxs = np.unique(np.concatenate(ctx_hash))
-            weight = np.zeros((len(ctxs), len(langs)), np.float64)  # log 1 where a language hasn't the context
-            for i, u in enumerate(ctx_hash):
-                weight[np.searchsorted(ctxs, u), i] = ctx_rows[i]
-            grams, which = np.unique(np.concatenate(gram_hash), return_index=True)
-            every = np.concatenate([w for w, _ in levels[k]], axis=1)[:, which]
-            own = np.full((len(grams), len(langs)), -np.inf)
-            for i, g in enumerate(gram_hash):
-                own[np.searchsorted(grams, g), i] = gram_rows[i]
-            lower = self._log_p(every[1:], k - 1) if k else np.broadcast_to(base, own.shape)
-            back = weight[np.searchsorted(ctxs, ngram_hash(every[:-1]))] if k else np.broadcast_to(weight[0], own.shape)
+class LanguageModel:
+    """One language's sorted arrays: probs[k] (hashes, log p) of n-grams of k+1 characters, weights[k] (hashes, log
+    back-off weight) of contexts of k."""
+
+    def __init__(self, w: np.ndarray, n: np.ndarray):
+        # Windows of each height, each packed in a long; raw counts at the top, numbers of distinct left neighbours below.
+        levels = [(w, n.astype(float))]
+        for _ in range(ORDER - 1):
+            w, n = _distinct(w[1:])
+            levels.append((w, n.astype(float)))
+        self.probs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.weights: list[tuple[np.ndarray, np.ndarray]] = []
+        for w, n in reversed(levels):
+            ctxs, at, kinds = np.unique(_context(w), return_inverse=True, return_counts=True)
+            total = np.bincount(at, n, len(ctxs))
+            weight = np.log(DISCOUNT * kinds / total)
+            lower = self.log_p(w[1:])
+            p = np.logaddexp(np.log((n - DISCOUNT) / total[at]), weight[at] + lower)
+            h = ngram_hash(w)
+            order = np.argsort(h)
             self.weights.append((ctxs, weight.astype(np.float32)))
-            self.probs.append((grams, np.logaddexp(own, back + lower).astype(np.float32)))
-        self.base = base.astype(np.float32)
+            self.probs.append((h[order], p[order].astype(np.float32)))
 
-    def _log_p(self, w: np.ndarray, k: int) -> np.ndarray:
-        """Log probability, by language, of the last character of each window of k+1 after those before it."""
+    def log_p(self, w: np.ndarray) -> np.ndarray:
+        """Log probability of the last character of each window, a column, after those before it."""
+        k = len(w) - 1
         if k < 0:
-            return np.broadcast_to(np.full(len(self.langs), np.log(1 / ALPHABET), np.float32), (w.shape[1], len(self.langs)))
-        keys, table = self.probs[k]
-        h = ngram_hash(w)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        out = table[at]
-        miss = np.flatnonzero(keys[at] != h)
+            return np.full(w.shape[1], np.log(1 / ALPHABET), np.float32)
+        at, found = _look_up(self.probs[k][0], ngram_hash(w))
+        out = self.probs[k][1][at]
+        miss = np.flatnonzero(~found)
         if len(miss):
             lost = w[:, miss]
-            ctxs, weight = self.weights[k]
-            c = ngram_hash(lost[:-1]) if k else np.zeros(len(miss), U64)
-            cat = np.minimum(np.searchsorted(ctxs, c), len(ctxs) - 1)
-            back = np.where((ctxs[cat] == c)[:, None], weight[cat], np.float32(0))
-            out[miss] = back + self._log_p(lost[1:], k - 1)
+            at, found = _look_up(self.weights[k][0], _context(lost))
+            out[miss] = np.where(found, self.weights[k][1][at], np.float32(0)) + self.log_p(lost[1:])
         return out
 
+
+def _distinct(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct columns of at most three code points each, and how often each stands there."""
+    key = np.zeros(w.shape[1], np.int64)
+    for line in w:
+        key = key << 21 | line
+    key, n = np.unique(key, return_counts=True)
+    height = len(w)
+    return np.stack([key >> 21 * (height - 1 - j) & 0x1FFFFF for j in range(height)]).astype(np.uint32), n
+
+
+def _context(w: np.ndarray) -> np.ndarray:
+    return ngram_hash(w[:-1]) if len(w) > 1 else np.zeros(w.shape[1], U64)
+
+
+def _look_up(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, whether found) of h in the sorted keys."""
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
+
+
+class Model:
+    """A LanguageModel for each of langs, and limits of rejection: (mean, sd, largest standardised deviation)."""
+
+    def __init__(self, langs: list[str], parts: list[LanguageModel]):
+        self.langs, self.parts = langs, parts
+        self.limits = [(0.0, 1.0, np.inf)] * len(langs)
+
+    def log_p(self, w: np.ndarray) -> np.ndarray:
+        """Log probability of the last character of each window, a row a window and a column a language."""
+        return np.stack([part.log_p(w) for part in self.parts], axis=1)
+
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy by language, characters scored) of each text; zero characters without a letter."""
         out, row, letters = codes(texts)
@@ -208,7 +218,8 @@ class Model:
         n = np.bincount(row, minlength=len(texts)) * (letters > 0)
         total = np.zeros((len(texts), len(self.langs)))
         if len(row):
-            p = self._log_p(w, ORDER - 1)
+            _, first, at = np.unique(ngram_hash(w), return_index=True, return_inverse=True)
+            p = self.log_p(w[:, first])[at]  # each distinct window is looked up once
             new = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             total[row[new]] = -np.add.reduceat(p, new, axis=0, dtype=np.float64)
         return total / np.maximum(n, 1)[:, None], n
@@ -242,15 +253,11 @@ def fit(training: DataFrame, calibration: DataFrame | None = None) -> Model:
         sampled = F.pmod(F.xxhash64("text"), 1 << 20) < int(share * (1 << 20))
         if share < 1:
             training = training.union(known.where(~sampled))
-    counts = count(training).groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"))
-    got = counts.orderBy("lang", "hi", "lo").toPandas()
-    langs = sorted(got["lang"].unique(), key=lambda s: s.encode())
-    counted = {}
-    for lang, g in got.groupby("lang"):
-        hi, lo = g["hi"].to_numpy(), g["lo"].to_numpy()
-        mask = (1 << 32) - 1
-        counted[lang] = (np.stack([hi >> 32, hi & mask, lo >> 32, lo & mask]).astype(np.uint32), g["n"].to_numpy())
-    model = Model(langs, counted)
+    counts = materialize(count(training).groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")))
+    langs = sorted((r["lang"] for r in counts.select("lang").distinct().collect()), key=lambda s: s.encode())
+    # The driver holds the counts of one language at a time.
+    model = Model(langs, [LanguageModel(*_unpacked(counts.where(F.col("lang") == lang))) for lang in langs])
+    discard(counts)
     if known is not None and langs:
         scored = _scored(known.where(sampled), model, "lang").where("lang = lang_pred and n_scored > 0")
         z = materialize(scored.select("lang", "entropy", "n_scored"))
@@ -268,6 +275,13 @@ def fit(training: DataFrame, calibration: DataFrame | None = None) -> Model:
     return model
 
 
+def _unpacked(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(windows by column, counts) of counts(hi, lo, n)."""
+    hi, lo, n = (c.to_numpy() for c in counts.select("hi", "lo", "n").toArrow().columns)
+    mask = (1 << 32) - 1
+    return np.stack([hi >> 32, hi & mask, lo >> 32, lo & mask]).astype(np.uint32), n
+
+
 def _scored(rows: DataFrame, model: Model, key: str) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(model)
 

@@ -138,7 +138,7 @@ def test_language_model_sums_to_one(spark):
     alphabet = np.array([[ord(c)] for c in "abc " + "q"], np.uint32)
     for ctx in ("   ", "aba", " bc"):
         w = np.concatenate([np.tile(np.array([[ord(c)] for c in ctx], np.uint32), (1, 5)), alphabet.T], axis=0)
-        p = np.exp(model._log_p(w, 3).astype(float))
+        p = np.exp(model.log_p(w).astype(float))
         assert np.allclose(p[:4].sum(axis=0) + (langid.ALPHABET - 4) * p[4], 1, atol=1e-3)
 
 
@@ -428,12 +428,12 @@ def test_language_model_keeps_every_ngram(spark, monkeypatch):
     rows = [("zh", "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(10_000))) for _ in range(28)]
     model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
     grams = {t[i : i + 4] for t in (f"   {t} " for _, t in rows) for i in range(len(t) - 3)}
-    assert len(model.probs[langid.ORDER - 1][0]) == len(grams) > 1 << 18
+    assert len(model.parts[0].probs[langid.ORDER - 1][0]) == len(grams) > 1 << 18
     # Rows that could calibrate but aren't sampled are counted.
     monkeypatch.setattr(langid, "CALIBRATION_ROWS", 10)
     few = spark.createDataFrame([("aa", "abab abba")], "lang string, text string")
     more = spark.createDataFrame([("aa", f"qz{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(100)], "lang string, text string")
-    assert len(langid.fit(few, more).probs[langid.ORDER - 1][0]) > len(langid.fit(few).probs[langid.ORDER - 1][0]) + 80
+    assert len(langid.fit(few, more).parts[0].probs[langid.ORDER - 1][0]) > len(langid.fit(few).parts[0].probs[langid.ORDER - 1][0]) + 80
 
 
 def test_passages_beyond_the_first_holder(spark):
