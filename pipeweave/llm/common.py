@@ -50,6 +50,21 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def no_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of each query that runs inside when it ends, not when the driver forgets it.
+
+    For queries whose plan runs once; one that runs again would make its shuffles anew.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def lean(run: Callable) -> Callable:
     """run, a function over batches, with memory given back to the system when its task ends.
 
@@ -80,7 +95,8 @@ def _give_back() -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lost executors cost no recomputation."""
     folder = shared_dir(df.sparkSession)
-    df.write.parquet(f"{folder}/t")
+    with no_leftovers(df.sparkSession):
+        df.write.parquet(f"{folder}/t")
     out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/t")
     out.written_to = folder
     return out
