@@ -345,6 +345,8 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = materialize(named.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep")))
     nodes = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("fp_a").alias("fp_a"))
     reps = materialize(named.join(nodes, ["doc_id", "fp_a"], "left_semi").dropDuplicates(["doc_id"]))
+    named_rows = materialize(signed.select("doc_id", "n_shingles", "fp_a", "fp_b"))
+    discard(signed)
     bands = reps.select(F.explode("bands").alias("key"), "doc_id")
     hubs = materialize(
         bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").drop("last")
@@ -352,6 +354,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = materialize(bands.join(hubs, "key"))
     busy = buckets.select("doc_id").distinct()
     sketches = materialize(reps.join(busy, "doc_id", "left_semi").select("doc_id", "fp_a", "n_shingles", "bands", "sketch"))
+    discard(reps, hubs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     some = full_sets(texts.join(sketches.select("doc_id"), "doc_id", "left_semi"))
     held = materialize_texts(some.join(sketches.select("doc_id", "fp_a"), ["doc_id", "fp_a"], "left_semi"))
@@ -375,10 +378,10 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named_class = classes.join(comps, F.col("rep") == F.col("id"), "left").select(
         F.col("fp_a").alias("x"), F.col("fp_b").alias("y"), F.coalesce("comp", "rep").alias("comp")
     )
-    out = signed.join(materialize(named_class), (F.col("fp_a") == F.col("x")) & (F.col("fp_b") == F.col("y")) & F.col("doc_id").isNotNull(), "left")
+    out = named_rows.join(materialize(named_class), (F.col("fp_a") == F.col("x")) & (F.col("fp_b") == F.col("y")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("comp", "doc_id")
     result = materialize(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
-    discard(signed, classes, reps, hubs, buckets, sketches, held, links, placed, more)
+    discard(named_rows, classes, buckets, sketches, held, links, placed, more)
     return result
 
 
