@@ -10,9 +10,10 @@ language show, for its length, is rejected.
 
 The counts cover all training rows and the model keeps every n-gram, so it grows with the distinct
 n-grams of the languages, at some 20 bytes for each n-gram of a language: the driver builds it, a
-language at a time, and every executor holds it. Calibration uses at
-most about CALIBRATION_ROWS rows, chosen by hash; a language with fewer than MIN_CALIBRATION of
-them has no limit, as so few don't show how its texts vary.
+language at a time, and every executor holds it. Calibration uses all training rows too: the texts
+are halved by hash, and each half is scored by a model of the other's counts, since a model knows
+the texts it has counted better than others. A language with fewer than CALIBRATION_ROWS texts that
+such a model gives its own name has no limit, as so few don't show how its texts vary.
 
 Edge cases: a null text, and one without a letter, is `und` with score 0 and rejected; with no
 labelled row every text is `und`; rows with a null lang or text teach nothing; ties go to the
@@ -22,6 +23,7 @@ A very long text is scored whole. Other columns may have any names; `accepted` r
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lean, map_rows, materialize
+from .common import discard, lean, map_rows, materialize, materialize_texts
 from .textkit import U64, mix
 
 ORDER = 4
 DISCOUNT = 0.75
-CALIBRATION_ROWS, MIN_CALIBRATION = 20_000, 5
+CALIBRATION_ROWS = 5  # that a language needs for a limit
 MERGE_ROWS = 1 << 16  # counted n-grams a language that a task holds before it merges equal ones
 QUANTILE, SLACK = 0.999, 1.5
 STEADY = 400  # characters beyond which cross-entropy varies with the text and no more with its length
@@ -240,41 +242,59 @@ class Model:
         return [self.langs[b] if k else "und" for b, k in zip(best.tolist(), n.tolist())], score, low, rejected, n
 
 
-def fit(training: DataFrame, calibration: DataFrame | None = None) -> Model:
-    """A model of training(lang, text); limits of rejection from calibration(lang, text).
+def fit(training: DataFrame | None, calibration: DataFrame | None = None) -> Model:
+    """A model of all rows of training(lang, text) and calibration(lang, text); limits of rejection from all of calibration.
 
-    Rows of calibration beyond its sample are counted like those of training.
+    The rows of calibration are halved by their texts; each half is scored by a model of all the other rows.
     """
-    training = training.select("lang", "text").where("lang is not null and text is not null")
-    known = sampled = None
-    if calibration is not None:
-        known = calibration.select("lang", "text").where("lang is not null and text is not null")
-        share = min(1.0, CALIBRATION_ROWS / max(known.count(), 1))
-        sampled = F.pmod(F.xxhash64("text"), 1 << 20) < int(share * (1 << 20))
-        if share < 1:
-            training = training.union(known.where(~sampled))
-    counts = materialize(count(training).groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")))
-    langs = sorted((r["lang"] for r in counts.select("lang").distinct().collect()), key=lambda s: s.encode())
-    # The driver holds the counts of one language at a time.
-    model = Model(langs, [LanguageModel(*_unpacked(counts.where(F.col("lang") == lang))) for lang in langs])
+    training, known = (None if d is None else d.select("lang", "text").where("lang is not null and text is not null") for d in (training, calibration))
+    if known is None:
+        counts = materialize(count(training).groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")))
+        model = _model(counts)
+        discard(counts)
+        return model
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    keyed = known.select(F.concat(half.cast("string"), "lang").alias("lang"), "text")
+    if training is not None:
+        keyed = keyed.union(training.select(F.concat(F.lit("2"), "lang"), "text"))
+    counts = materialize(count(keyed).groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")))
+    halves = counts.select(F.substring("lang", 1, 1).cast("int").alias("half"), F.expr("substring(lang, 2)").alias("lang"), "hi", "lo", "n")
+    scored = []
+    for k in (0, 1, None):
+        some = materialize((halves if k is None else halves.where(F.col("half") != k)).groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")))
+        model = _model(some)
+        discard(some)
+        if k is not None and model.langs:
+            z = _scored(known.where(half == k), model, "lang").where("lang = lang_pred and n_scored > 0")
+            scored.append(materialize_texts(z.select("lang", "entropy", "n_scored")))
     discard(counts)
-    if known is not None and langs:
-        scored = _scored(known.where(sampled), model, "lang").where("lang = lang_pred and n_scored > 0")
-        z = materialize(scored.select("lang", "entropy", "n_scored"))
-        stats = z.groupBy("lang").agg(F.avg("entropy").alias("mean"))
-        joined = z.join(stats, "lang")
-        dev = (F.col("entropy") - F.col("mean")) * F.sqrt(F.col("n_scored") / (1 + F.col("n_scored") / STEADY))
-        fitted = joined.groupBy("lang").agg(
-            F.first("mean").alias("mean"), F.sqrt(F.avg(dev * dev)).alias("sd"), F.percentile_approx(dev, QUANTILE, 10_000).alias("top"), F.max(dev).alias("most"), F.count(F.lit(1)).alias("n")
-        ).collect()
-        for r in fitted:
-            if r["n"] < MIN_CALIBRATION:
-                continue
-            sd = max(r["sd"], 1e-6)
-            model.limits[langs.index(r["lang"])] = (r["mean"], sd, max(SLACK * r["top"] / sd, SLACK * 4.0, r["most"] / sd))
+    if scored:
+        _limit(model, functools.reduce(DataFrame.union, scored))
+        discard(*scored)
     return model
 
 
+def _model(counts: DataFrame) -> Model:
+    """The model of counts(lang, hi, lo, n) of each n-gram; the driver holds the counts of one language at a time."""
+    langs = sorted((r["lang"] for r in counts.select("lang").distinct().collect()), key=lambda s: s.encode())
+    return Model(langs, [LanguageModel(*_unpacked(counts.where(F.col("lang") == lang))) for lang in langs])
+
+
+def _limit(model: Model, z: DataFrame) -> None:
+    """Set the model's limits from the cross-entropies z(lang, entropy, n_scored) of calibration texts."""
+    stats = z.groupBy("lang").agg(F.avg("entropy").alias("mean"))
+    joined = z.join(F.broadcast(stats), "lang")  # a row a language; z stays where it is, as one language may hold most rows
+    dev = (F.col("entropy") - F.col("mean")) * F.sqrt(F.col("n_scored") / (1 + F.col("n_scored") / STEADY))
+    fitted = joined.groupBy("lang").agg(
+        F.first("mean").alias("mean"), F.sqrt(F.avg(dev * dev)).alias("sd"), F.percentile_approx(dev, QUANTILE, 10_000).alias("top"), F.max(dev).alias("most"), F.count(F.lit(1)).alias("n")
+    ).collect()
+    for r in fitted:
+        if r["n"] < CALIBRATION_ROWS:
+            continue
+        sd = max(r["sd"], 1e-6)
+        model.limits[model.langs.index(r["lang"])] = (r["mean"], sd, max(SLACK * r["top"] / sd, SLACK * 4.0, r["most"] / sd))
+
+
 def _unpacked(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(windows by column, counts) of counts(hi, lo, n)."""
     hi, lo, n = (c.to_numpy() for c in counts.select("hi", "lo", "n").toArrow().columns)
@@ -308,13 +328,9 @@ def bucket(doc_id: Column, n: int) -> Column:
 
 
 def fit_documents(docs: DataFrame) -> Model:
-    """Fitted to documents whose crc32(doc_id) mod 4 is 0 or 1, and calibrated on those where it is 3.
-
-    A model knows the texts it has counted better than others, so limits come from texts it hasn't.
-    """
+    """Fitted to, and calibrated on, all documents whose crc32(doc_id) mod 4 is not 2."""
     fold = F.coalesce(bucket(F.col("doc_id"), 4), F.lit(0))
-    learnt = docs.select("lang", "text", fold.alias("fold")).where("fold <> 2")
-    return fit(learnt.where("fold <> 3"), learnt.where("fold = 3"))
+    return fit(None, docs.select("lang", "text", fold.alias("fold")).where("fold <> 2"))
 
 
 def accepted(docs: DataFrame) -> DataFrame:

@@ -544,3 +544,20 @@ def test_hot_bucket_of_many_components(spark, monkeypatch):
                 up[max(find(i), find(j))] = min(find(i), find(j))
     got = {r["doc_id"]: r["component_id"] for r in neardup.components(table(spark, texts)).collect()}
     assert [got[i] for i in range(60)] == [find(i) for i in range(60)]
+
+
+def test_language_counts_and_limits_come_from_all_learnt_rows(spark):
+    alike = lambda i: zlib.crc32(str(i).encode()) % 4
+    r = random.Random(8)
+    rows = [(i, " ".join("".join(r.choice("aeioubcd") for _ in range(5)) for _ in range(30)), "xx") for i in range(400)]
+    # One word a row, of letters of its own, shows whether the row is counted.
+    rows = [(i, f"{t} {chr(0x4E00 + i) * 4}", g) for i, t, g in rows]
+    # Odd texts of each fold widen the limit of their language; before, those of two folds were only counted.
+    odd = [(1000 + i, " ".join("".join(r.choice("mnpqrstvwxyz") for _ in range(5)) for _ in range(30)), "xx") for i in range(40) if alike(1000 + i) in (0, 1)]
+    schema = "doc_id long, text string, lang string"
+    model, wide = (langid.fit_documents(spark.createDataFrame(x, schema)) for x in (rows, rows + odd))
+    w = np.array([[0x4E00 + i] * 4 for i in range(400)], np.uint32).T
+    _, found = langid._look_up(model.parts[0].probs[langid.ORDER - 1][0], langid.ngram_hash(w))
+    assert found.tolist() == [alike(i) != 2 for i in range(400)]
+    (mean, sd, top), (mean2, sd2, top2) = model.limits[0], wide.limits[0]
+    assert mean2 + sd2 * top2 > mean + sd * top + 1
