@@ -561,3 +561,16 @@ def test_language_counts_and_limits_come_from_all_learnt_rows(spark):
     assert found.tolist() == [alike(i) != 2 for i in range(400)]
     (mean, sd, top), (mean2, sd2, top2) = model.limits[0], wide.limits[0]
     assert mean2 + sd2 * top2 > mean + sd * top + 1
+
+
+def test_accepted_calibrates_on_every_learnt_row(spark):
+    calls = []
+    r = random.Random(12)
+    docs = spark.createDataFrame([(i, " ".join("".join(r.choice("aeioubcd") for _ in range(5)) for _ in range(30)), "xx") for i in range(200)], "doc_id long, text string, lang string")
+    plain = langid._limit
+    langid._limit = lambda model, z: (calls.append(z.count()), plain(model, z))[1]
+    try:
+        assert langid.accepted(docs).count() == 200
+    finally:
+        langid._limit = plain
+    assert calls == [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200))]
