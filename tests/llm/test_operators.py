@@ -574,3 +574,18 @@ def test_accepted_calibrates_on_every_learnt_row(spark):
     finally:
         langid._limit = plain
     assert calls == [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200))]
+
+
+def test_fuzzy_passages_beyond_the_first_holder(spark):
+    texts = []
+    for k in range(6):
+        shared = prose(90, 4000 + k).split()
+        # Two documents hold a third of it each; then two hold all of it, the later one with each 15th word changed.
+        texts += [f"{prose(40, 4100 + 10 * k + i)} {' '.join(shared[a : a + 30])} {prose(40, 4200 + 10 * k + i)}" for i, a in enumerate((0, 30, 60))]
+        texts.append(f"{prose(30, 4300 + k)} {' '.join(shared)} {prose(30, 4400 + k)}")
+        shared[7::15] = [f"new{k}x{i}" for i in range(6)]
+        texts.append(f"{prose(35, 4500 + k)} {' '.join(shared)} {prose(35, 4600 + k)}")
+    got = substring.passages(table(spark, texts)).collect()
+    for k in range(6):
+        covered = {i for r in got if r["doc_id"] == 5 * k + 4 and r["ref_doc_id"] == 5 * k + 3 for i in range(r["start"], r["start"] + r["n_words"])}
+        assert covered >= set(range(43, 117)) and len(covered) <= 96
