@@ -333,9 +333,12 @@ def fit_documents(docs: DataFrame) -> Model:
     return fit(None, docs.select("lang", "text", fold.alias("fold")).where("fold <> 2"))
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the model doesn't reject, with their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_documents(docs))
+def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of docs that the model doesn't reject, with their columns.
+
+    Without a model it is that of fit_documents, which leaves a fold unlearnt to test on; fit(None, docs) learns from all.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit_documents(docs) if model is None else model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

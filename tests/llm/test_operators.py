@@ -576,6 +576,21 @@ def test_accepted_calibrates_on_every_learnt_row(spark):
     assert calls == [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200))]
 
 
+def test_pipeline_learns_languages_from_every_labelled_document(spark, monkeypatch):
+    import corpus_pipeline
+
+    calls, plain = [], langid._limit
+    monkeypatch.setattr(langid, "_limit", lambda model, z: (calls.append(z.count()), plain(model, z))[1])
+    r = random.Random(13)
+    drawn = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(30))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    # The documents of one language all lie in the fold that op2 holds out; those of a third have no label.
+    rows = [(i, drawn("жшщяюлкм"), "zz") if fold(i) == 2 else (i, drawn("aeioubcd"), "xx") for i in range(200)]
+    docs = spark.createDataFrame(rows + [(200 + i, drawn("漢字語文書"), None) for i in range(4)], "doc_id long, text string, lang string")
+    assert sorted(x["doc_id"] for x in corpus_pipeline.identify(spark, docs, "").collect()) == list(range(200))
+    assert calls == [200]
+
+
 def test_fuzzy_passages_beyond_the_first_holder(spark):
     texts = []
     for k in range(6):
