@@ -2,14 +2,15 @@
 
 For a byte-level BPE without normaliser, ids of a text are the ids of its pre-tokens in turn, so
 each distinct pre-token is encoded by the library's model and kept in a cache of two generations
-of at most PIECE_BYTES each. A space ends a pre-token wherever it isn't between (or after) white
-space, so the runs between such spaces are kept in a second cache, of RUN_BYTES a generation, and
-only new runs are split by the pattern. Pieces and runs over LONGEST characters are never kept.
-Texts holding an added token's string, and any other kind of tokenizer, go to the library whole.
+of about PIECE_BYTES each; only one that the cache lacks is looked at by itself. Pieces over LONGEST
+characters are never kept. Texts holding an added token's string, and any other kind of tokenizer,
+go to the library whole.
 """
 
 from __future__ import annotations
 
+import codecs
+import functools
 import json
 import re
 import sys
@@ -18,33 +19,61 @@ from array import array
 
 import numpy as np
 
-PIECE_BYTES, RUN_BYTES, LONGEST = 8 << 20, 48 << 20, 256
+PIECE_BYTES, LONGEST = 56 << 20, 256
+#: So many pieces of a text are looked up before the cache's size is checked.
+_AT_ONCE = 1 << 14
+_PLAIN = array("I").itemsize == 4 and sys.byteorder == "little"
 #: The splitting pattern of the byte-level pre-tokenizer (a fixed value of the format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-#: A space that may lie inside a pre-token of white space.
-_INNER_SPACE = re.compile(r"\s (?:\s|$)")
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _alphabet() -> dict[int, str]:
-    """Byte -> character of the byte-level alphabet: printable Latin-1 stands for itself, the rest follow from 256 on."""
+@functools.cache
+def _splitters() -> tuple:
+    """SPLIT's findall for any text, for texts without characters beyond the basic plane, and for ASCII.
+
+    The latter two are for the standard library, which is faster, with SPLIT's classes spelled out.
+    """
+    import regex
+
+    def spelled(last: int):
+        known = "".join(chr(c) for c in range(last + 1) if not 0xD800 <= c < 0xE000)
+        pattern = SPLIT.replace(r"\S", r"[^\s]")
+        for name in (r"\p{L}", r"\p{N}", r"\s"):
+            ranges = "".join(f"{re.escape(m[0][0])}-{re.escape(m[0][-1])}" for m in regex.finditer(f"{name}+", known))
+            pattern = re.sub(rf"(\[[^]]*){re.escape(name)}", lambda m: m[1] + ranges, pattern)  # inside a class
+            pattern = pattern.replace(name, f"[{ranges}]")
+        return re.compile(pattern).findall
+
+    return regex.compile(SPLIT).findall, spelled(0xFFFF), spelled(0x7F)
+
+
+def _alphabet() -> str:
+    """The byte-level alphabet by byte: printable Latin-1 stands for itself, the rest follow from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return "".join(chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256))
+
+
+class _Pieces(dict):
+    """Ids by piece; the encoder is asked for one that is missing."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, p: str) -> bytes:
+        return self.encoder.piece(p)
 
 
 class Encoder:
     """encode(text) -> little-endian uint32 ids as bytes."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -59,77 +88,44 @@ class Encoder:
             and not spec["model"].get("dropout") and not spec.get("truncation") and not spec.get("padding")
         )
         self.added = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
-        self.split = regex.compile(SPLIT).findall
+        self.split, self.split_basic, self.split_ascii = _splitters()
         self.alphabet = _alphabet()
         self.clear()
 
     def clear(self) -> None:
-        """Empty the caches, so that an idle worker holds none."""
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.older_runs: dict[str, bytes] = {}
-        self.cache_bytes = self.run_bytes = 0
+        """Empty the cache, so that an idle worker holds none."""
+        self.cache, self.older = _Pieces(self), _Pieces(self)
+        self.cache_bytes = 0
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def model_ids(self, p: str) -> bytes:
         """Ids of a pre-token."""
-        if p.isascii() and p.isprintable():
-            spelled = p.replace(" ", self.alphabet[32])
-        else:
-            spelled = p.encode().decode("latin-1").translate(self.alphabet)
+        spelled, _ = codecs.charmap_decode(p.encode(), "strict", self.alphabet)
         return _u4([t.id for t in self.model.tokenize(spelled)])
 
     def piece(self, p: str) -> bytes:
-        ids = self.cache.get(p)
-        if ids is None:
-            ids = self.older.get(p) or self.model_ids(p)
-            if len(p) <= LONGEST:
-                self.cache[p] = ids
-                self.cache_bytes += _size(p, ids)
-                if self.cache_bytes > PIECE_BYTES:  # two generations: what is still in use moves over
-                    self.older, self.cache, self.cache_bytes = self.cache, {}, 0
-        return ids
-
-    def split_and_encode(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.split(text)))
-
-    def run(self, r: str) -> bytes:
-        """Ids of a run and the space before it."""
-        ids = self.older_runs.get(r)
-        if ids is None:
-            if r.isalpha():  # one pre-token
-                ids = self.model_ids(" " + r)
-            elif r[-1] in ".,;:" and r[:-1].isalpha():
-                ids = (self.runs.get(r[:-1]) or self.run(r[:-1])) + self.piece(r[-1])
-            else:
-                ids = self.split_and_encode(" " + r)
-        if len(r) <= LONGEST:
-            self.runs[r] = ids
-            self.run_bytes += _size(r, ids)
+        """Ids of a pre-token that self.cache lacks."""
+        ids = self.older.get(p) or self.model_ids(p)
+        if len(p) <= LONGEST:
+            self.cache[p] = ids
+            self.cache_bytes += _size(p, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
         if not self.piecewise or any(a in text for a in self.added):
             return self.whole(text)
-        head, *rest = text.split(" ")
-        runs, checked = self.runs, False
-        out = [self.split_and_encode(head)]
-        for r in rest:
-            ids = runs.get(r)
-            if ids is None:
-                if not r or r[0].isspace():  # never kept: the space before it may lie inside white space
-                    if not checked and _INNER_SPACE.search(text):
-                        return self.split_and_encode(text)
-                    checked = True
-                    ids = self.split_and_encode(" " + r)
-                else:
-                    ids = self.run(r)
-            out.append(ids)
-        if self.run_bytes > RUN_BYTES:
-            self.older_runs, self.runs, self.run_bytes = runs, {}, 0
+        if text.isascii():
+            pieces = self.split_ascii(text)
+        else:
+            basic = len(text.encode("utf-16-le")) == 2 * len(text)
+            pieces = self.split_basic(text) if basic else self.split(text)
+        out = []
+        for i in range(0, len(pieces), _AT_ONCE):
+            out.append(b"".join(map(self.cache.__getitem__, pieces[i : i + _AT_ONCE])))
+            if self.cache_bytes > PIECE_BYTES:  # two generations: what is still in use moves over
+                self.older, self.cache, self.cache_bytes = self.cache, _Pieces(self), 0
         return b"".join(out)
 
 
@@ -138,10 +134,7 @@ def _size(key: str, value: bytes) -> int:
 
 
 def _u4(ids: list[int]) -> bytes:
-    a = array("I", ids)
-    if a.itemsize != 4 or sys.byteorder != "little":
-        return np.asarray(ids, "<u4").tobytes()
-    return a.tobytes()
+    return array("I", ids).tobytes() if _PLAIN else np.asarray(ids, "<u4").tobytes()
 
 
 _local = threading.local()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pipeweave.llm import ann, common, hostrules, langid, mixing, neardup, packing, sstable, substring, toxicity, urlrules
+from pipeweave.llm import ann, common, hostrules, langid, mixing, neardup, packing, sstable, substring, tokens, toxicity, urlrules
 from pipeweave.llm.tokens import default_tokenizer, encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -250,6 +250,35 @@ def test_tokens_equal_the_library():
         assert enc.encode(t) == enc.whole(t)
 
 
+def test_tokens_encode_each_pretoken_once(monkeypatch):
+    enc, asked = tokens.Encoder(default_tokenizer()), Counter()
+    model_ids = enc.model_ids
+    monkeypatch.setattr(enc, "model_ids", lambda p: asked.update([p]) or model_ids(p))
+    w = prose(300, 1).split()
+    text = " ".join(w) + ", ".join(w) + ".\nThe ".join(w) + " (" + ") (".join(w) + ") " + "!? ".join(w)
+    for t in (text, text + " é", text):
+        assert enc.encode(t) == enc.whole(t)
+    assert max(asked.values()) == 1
+
+
+def test_tokens_of_all_ascii_and_a_small_cache(monkeypatch):
+    enc, r = tokens.Encoder(default_tokenizer()), random.Random(8)
+    monkeypatch.setattr(tokens, "PIECE_BYTES", 5000)
+    monkeypatch.setattr(tokens, "_AT_ONCE", 7)
+    for k in range(500):
+        t = "".join(chr(r.randrange(128)) if r.random() < 0.6 else r.choice(" \n'aZ0.") for _ in range(r.randint(0, 60)))
+        t += "x" * 300 if k % 50 == 0 else "\xa0²ü" if k % 3 == 0 else ""
+        assert enc.encode(t) == enc.whole(t)
+        assert enc.cache_bytes <= 5000 and max(map(len, enc.cache), default=0) <= tokens.LONGEST
+
+
+def test_patterns_cut_alike():
+    whole, basic, ascii_only = tokens._splitters()
+    for x in (chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000):
+        t = f"a{x}b {x}{x}1{x} {x}\n {x}'s{x}  {x}."
+        assert whole(t) == basic(t) and (x > "\x7f" or whole(t) == ascii_only(t))
+
+
 def test_sstable_round_trip_and_lookup(spark):
     texts = [prose(200, i) for i in range(300)] + [None]
     docs = table(spark, texts, [*range(0, 600, 2), None])
